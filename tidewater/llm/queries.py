@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from tidewater.llm.fingerprints import op4_fingerprints
 from tidewater.llm.license_scan import op1_license_scan
 from tidewater.llm.mixing import OP2_SQL, op2_mixing
+from tidewater.llm.packing import op9_packing
+from tidewater.llm.quality_classifier import op3_quality_classifier
 from tidewater.llm.quality_rules import op7_quality_rules
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_mixing": op2_mixing,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_fingerprints": op4_fingerprints,
     "op7_quality_rules": op7_quality_rules,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL = {
