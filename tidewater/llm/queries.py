@@ -8,12 +8,14 @@ from tidewater.llm.mixing import OP2_SQL, op2_mixing
 from tidewater.llm.packing import op9_packing
 from tidewater.llm.quality_classifier import op3_quality_classifier
 from tidewater.llm.quality_rules import op7_quality_rules
+from tidewater.llm.simhash import op5_simhash
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_mixing": op2_mixing,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_fingerprints": op4_fingerprints,
+    "op5_simhash": op5_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op9_packing": op9_packing,
 }
