@@ -9,6 +9,7 @@ from tidewater.llm.packing import op9_packing
 from tidewater.llm.quality_classifier import op3_quality_classifier
 from tidewater.llm.quality_rules import op7_quality_rules
 from tidewater.llm.simhash import op5_simhash
+from tidewater.llm.suffix_dedup import op10_suffix_dedup
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op9_packing": op9_packing,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL = {
