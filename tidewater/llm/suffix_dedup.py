@@ -28,45 +28,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.llm.blocks import CUTS, NONE, PENDING, ROWS, RUNS, SPANS, bucket_of, by_bucket, dealt, doc_bytes, exchange, flat_bytes, mix, pack, rows_batch, text_blocks, texts_of, unpack
 from tidewater.llm.common import default_parts, table, written
 
 WIDTH = 100
 Q = 16
 CHUNK = 1 << 22
 HELD = 1 << 20
-NONE = 2**63 - 1
 RUN = [("anchor", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("lo", "<i8"), ("n", "<u4")]
 SPAN = [("doc", "<i8"), ("lo", "<i8"), ("n", "<u4")]
 PEND = [("anchor", "<u8"), ("doc", "<i8"), ("lo", "<i8"), ("n", "<u4")]
-ROWS = "bucket int, kind int, block binary"
-#: Kinds of block, in the order in which a task must see them.
-SPANS, PENDING, RUNS, TEXTS, CUTS = range(5)
-
-
-def pack(a: np.ndarray, extra: bytes = b"") -> bytes:
-    """Columns of a structured array, then further bytes, compressed."""
-    head = np.array([len(a), len(extra)], dtype="<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a[c]).tobytes() for c in a.dtype.names) + extra)
-
-
-def unpack(block: bytes, dtype: list) -> tuple[np.ndarray, bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(block)
-    n, more = np.frombuffer(raw, "<i8", 2)
-    out, at = np.empty(n, dtype), 16
-    for c, t in dtype:
-        size = int(n) * np.dtype(t).itemsize
-        out[c] = np.frombuffer(raw, t, int(n), at)
-        at += size
-    return out, raw[at : at + int(more)]
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
 def eights(data: np.ndarray) -> np.ndarray:
@@ -82,7 +56,7 @@ def minimizer_runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray, width:
     if len(data) < width:
         return none, none, none, none.astype(np.uint64)
     e = eights(data)
-    h = _mix(e[:-8] * np.uint64(0x9E3779B97F4A7C15) + _mix(e[8:]))
+    h = mix(e[:-8] * np.uint64(0x9E3779B97F4A7C15) + mix(e[8:]))
     low = np.uint64(CHUNK * 2 - 1)
     least, have, need = (h & ~low) | np.arange(len(h), dtype=np.uint64), 1, width - Q + 1
     while have < need:
@@ -120,22 +94,6 @@ def _as(a: np.ndarray, dtype: list) -> np.ndarray:
     return out
 
 
-def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
-    return (_mix(values.astype(np.uint64)) >> np.uint64(33)).astype(np.int64) % buckets
-
-
-def dealt(a: np.ndarray, by: str, buckets: int, kind: int) -> Iterator[tuple[int, int, bytes]]:
-    """Blocks of rows by bucket."""
-    if not len(a):
-        return
-    to = _bucket(a[by].view(np.uint64), buckets)
-    order = np.argsort(to, kind="stable")
-    to = to[order]
-    cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-    for i, j in zip(cut, [*cut[1:], len(to)], strict=True):
-        yield int(to[i]), kind, pack(a[order[i:j]])
-
-
 def refine(data: np.ndarray, base: np.ndarray, n: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(window's text, its offset there; bucket) for windows that share their bucket at depth ``width`` with another.
 
@@ -179,35 +137,10 @@ def refine(data: np.ndarray, base: np.ndarray, n: np.ndarray, width: int = WIDTH
     return np.array([text[ok], place[ok]]), bucket[at[ok]]
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    b, k, x = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(x, pa.binary())], ["bucket", "kind", "block"])
-
-
-def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(all bytes, offsets) of a binary column."""
-    off = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1 + col.offset)[col.offset :].astype(np.int64)
-    data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
-    return data[off[0] : off[-1]], off - off[0]
-
-
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, bytes]]]]:
-    """(bucket, its (kind, block)s): rows are sorted by bucket and kind."""
-    import itertools
-
-    rows = ((b, k, x.as_py()) for batch in batches for b, k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True))
-    for bucket, group in itertools.groupby(rows, key=lambda r: r[0]):
-        yield bucket, ((k, x) for _, k, x in group)
-
-
-def _exchange(df: DataFrame, buckets: int) -> DataFrame:
-    return df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
-
-
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, buckets: int | None = None) -> tuple[DataFrame, DataFrame, int]:
     """(blocks of removed windows by document bucket, blocks of texts by the same, buckets)."""
     buckets = buckets or 2 * default_parts(docs, 32)
-    d = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NONE)).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes"))
+    d = doc_bytes(docs, key, text)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -215,10 +148,10 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width
 
         def flush() -> pa.RecordBatch:
             first, others = settle(np.concatenate(held)) if held else (np.empty(0, RUN), np.empty(0, RUN))
-            return _batch([*dealt(first, "anchor", buckets, RUNS), *dealt(_as(others, SPAN), "doc", buckets, SPANS)])
+            return rows_batch([*dealt(first, "anchor", buckets, RUNS), *dealt(_as(others, SPAN), "doc", buckets, SPANS)])
 
         for b in batches:
-            data, off = _flat(b.column(1))
+            data, off = flat_bytes(b.column(1))
             doc = b.column(0).to_numpy(zero_copy_only=False)
             whole_of = xxhash.xxh3_64_intdigest
             i = 0
@@ -249,7 +182,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             yield flush()
 
     def by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, blocks in _by_bucket(batches):
+        for bucket, blocks in by_bucket(batches):
             passed, found = [], []
             for kind, block in blocks:
                 if kind == SPANS:
@@ -259,23 +192,10 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             first, others = settle(np.concatenate([np.empty(0, RUN), *found]))
             same = first["anchor"][1:] == first["anchor"][:-1]
             shared = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(first) else np.zeros(0, bool)
-            yield _batch([*passed, *dealt(_as(others, SPAN), "doc", buckets, SPANS), *dealt(_as(first[shared], PEND), "doc", buckets, PENDING)])
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, off = _flat(b.column(1))
-            doc = b.column(0).to_numpy(zero_copy_only=False)
-            to = _bucket(doc.view(np.uint64), buckets)
-            rows = []
-            for bucket in np.unique(to):
-                i = np.flatnonzero(to == bucket)
-                head = np.empty(len(i), [("doc", "<i8"), ("size", "<i8")])
-                head["doc"], head["size"] = doc[i], off[i + 1] - off[i]
-                rows.append((int(bucket), TEXTS, pack(head, b"".join(data[off[x] : off[x + 1]].tobytes() for x in i))))
-            yield _batch(rows)
+            yield rows_batch([*passed, *dealt(_as(others, SPAN), "doc", buckets, SPANS), *dealt(_as(first[shared], PEND), "doc", buckets, PENDING)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blocks in _by_bucket(batches):
+        for _, blocks in by_bucket(batches):
             found, pend, seen = [np.empty(0, PEND)], None, set()
             for kind, block in blocks:
                 if kind == PENDING:
@@ -285,7 +205,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width
                     pend = np.concatenate(found)
                     pend = pend[np.argsort(pend["doc"], kind="stable")]
                 cuts, pieces, size = [], [], 0
-                for doc, text_ in _texts(block):
+                for doc, text_ in texts_of(block):
                     lo, hi = np.searchsorted(pend["doc"], [doc, doc + 1] if doc < NONE else [doc], side="left").tolist() + ([len(pend)] if doc == NONE else [])
                     if lo == hi or doc in seen:
                         continue
@@ -294,10 +214,10 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width
                     pieces += [text_[x:y] for x, y in zip(pend["lo"][lo:hi].tolist(), (pend["lo"][lo:hi] + pend["n"][lo:hi] + width - 1).tolist(), strict=True)]
                     size += hi - lo
                 if size:
-                    yield _batch(list(_dealt_cuts(np.concatenate(cuts), pieces, buckets)))
+                    yield rows_batch(list(_dealt_cuts(np.concatenate(cuts), pieces, buckets)))
 
     def by_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blocks in _by_bucket(batches):
+        for _, blocks in by_bucket(batches):
             got = [unpack(block, PEND) for _, block in blocks]
             rec, data = np.concatenate([r for r, _ in got]), np.frombuffer(b"".join(x for _, x in got), np.uint8)
             size = rec["n"].astype(np.int64) + width - 1
@@ -311,25 +231,17 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (lo[1:] != lo[:-1] + 1)])) if len(doc) else np.zeros(0, np.int64)
             out = np.empty(len(first), SPAN)
             out["doc"], out["lo"], out["n"] = doc[first], lo[first], np.diff(np.append(first, len(doc)))
-            yield _batch(list(dealt(out, "doc", buckets, SPANS)))
+            yield rows_batch(list(dealt(out, "doc", buckets, SPANS)))
 
-    settled = written(_exchange(d.mapInArrow(runs, ROWS), buckets).mapInArrow(by_anchor, ROWS), "repeats")
-    all_texts = d.mapInArrow(texts, ROWS)
+    settled = written(exchange(d.mapInArrow(runs, ROWS), buckets).mapInArrow(by_anchor, ROWS), "repeats")
+    all_texts = d.mapInArrow(text_blocks(buckets), ROWS)
     pending = settled.where(F.col("kind") == PENDING).unionByName(all_texts)
-    windows = _exchange(_exchange(pending, buckets).mapInArrow(cut, ROWS), buckets).mapInArrow(by_window, ROWS)
+    windows = exchange(exchange(pending, buckets).mapInArrow(cut, ROWS), buckets).mapInArrow(by_window, ROWS)
     return settled.where(F.col("kind") == SPANS).unionByName(windows), all_texts, buckets
 
 
-def _texts(block: bytes) -> Iterator[tuple[int, bytes]]:
-    head, data = unpack(block, [("doc", "<i8"), ("size", "<i8")])
-    at = 0
-    for doc, size in zip(head["doc"].tolist(), head["size"].tolist(), strict=True):
-        yield doc, data[at : at + size]
-        at += size
-
-
 def _dealt_cuts(rec: np.ndarray, pieces: list[bytes], buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    to = _bucket(rec["anchor"], buckets)
+    to = bucket_of(rec["anchor"], buckets)
     order = np.argsort(to, kind="stable")
     to = to[order]
     edge = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
@@ -345,7 +257,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, buckets: int | None = No
     spans, texts, buckets = find_repeats(docs, width=width, buckets=buckets)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blocks in _by_bucket(batches):
+        for _, blocks in by_bucket(batches):
             found, gone = [np.empty(0, SPAN)], None
             for kind, block in blocks:
                 if kind == SPANS:
@@ -355,7 +267,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, buckets: int | None = No
                     gone = np.concatenate(found)
                     gone = gone[np.argsort(gone["doc"], kind="stable")]
                 cols: list[list] = [[] for _ in range(5)]
-                for doc, text in _texts(block):
+                for doc, text in texts_of(block):
                     lo, hi = np.searchsorted(gone["doc"], doc, side="left"), np.searchsorted(gone["doc"], doc, side="right")
                     n = len(text)
                     if lo == hi:
@@ -373,7 +285,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, buckets: int | None = No
                 cols[0] = [None if x == NONE else x for x in cols[0]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in KEPT.split(", ")])
 
-    return _exchange(spans.unionByName(texts), buckets).mapInArrow(finish, KEPT)
+    return exchange(spans.unionByName(texts), buckets).mapInArrow(finish, KEPT)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
