@@ -313,8 +313,7 @@ class Lowering:
             return X.bucket(F.col(f"`{self.key}`"), int(e.right.text))
         return None
 
-    def window(self, e: Call) -> Column:
-        o = e.over
+    def window_parts(self, o) -> tuple[list, list | None, Frame | None]:
         partition = []
         for p in o.partition:
             b = self.bucket_of(p)
@@ -325,8 +324,15 @@ class Lowering:
             partition.append(b)
         if o.order is not None and o.order != self.key:
             raise Refused("a window is ordered by the ordering key")
-        order = [F.col(f"`{self.key}`"), F.col(SEQ)] if o.order else None
-        frame = Frame(*o.frame) if o.frame else None
+        return partition, [F.col(f"`{self.key}`"), F.col(SEQ)] if o.order else None, Frame(*o.frame) if o.frame else None
+
+    def window_args(self, e: Call) -> list[Column]:
+        if e.star or not all(isinstance(a, Col) and self.kind(self.plain(a)) == "double" for a in e.args):
+            raise Refused(f"{e.name.upper()} OVER takes plain DOUBLE columns")
+        return [self.column(a) for a in e.args]
+
+    def window(self, e: Call) -> Column:
+        partition, order, frame = self.window_parts(e.over)
         name = f"__w{len(self.staged)}"
         if e.name in ("lag", "lead"):
             if not 1 <= len(e.args) <= 2 or not isinstance(e.args[0], Col):
@@ -340,9 +346,7 @@ class Lowering:
                 k = int(e.args[1].text)
             out = getattr(F, e.name)(self.column(e.args[0]), k).over(spec(partition, order, None))
         else:
-            if e.star or not all(isinstance(a, Col) and self.kind(self.plain(a)) == "double" for a in e.args):
-                raise Refused(f"{e.name.upper()} OVER takes plain DOUBLE columns")
-            args = [self.column(a) for a in e.args]
+            args = self.window_args(e)
             if e.name in self.src.windows:
                 fn = self.src.windows[e.name]
                 if len(args) != fn.arity:
@@ -364,9 +368,26 @@ class Lowering:
         self.staged[e] = F.col(name)
         return self.staged[e]
 
+    def stage_stats(self, calls: list) -> None:
+        """Statistics over one window are made together: those of the same arguments share the work."""
+        by_window: dict = {}
+        for e in calls:
+            by_window.setdefault(e.over, []).append(e)
+        for over, same in by_window.items():
+            wanted = {}
+            for e in same:
+                partition, order, frame = self.window_parts(over)
+                wanted[f"__w{len(self.staged)}"] = (e.name, *self.window_args(e))
+                if len(e.args) != STATS[e.name]:
+                    raise Refused(f"{e.name.upper()} takes {STATS[e.name]} argument{'s' * (STATS[e.name] > 1)}")
+                self.staged[e] = F.col(f"__w{len(self.staged)}")
+            self.df = window_stats(self.df, wanted, partition, order, frame)
+
     def project(self) -> DataFrame:
-        for e in self.walk([i.expr for i in self.s.items]):
-            if isinstance(e, Call) and e.over is not None and e not in self.staged:
+        calls = [e for e in self.walk([i.expr for i in self.s.items]) if isinstance(e, Call) and e.over is not None]
+        self.stage_stats(list(dict.fromkeys(e for e in calls if e.name in STATS and e.name not in self.src.windows)))
+        for e in calls:
+            if e not in self.staged:
                 self.window(e)
         for e in self.walk([i.expr for i in self.s.items]):
             if isinstance(e, Call) and e.over is None and e.name in self.src.columns:
