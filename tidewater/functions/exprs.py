@@ -7,7 +7,8 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NAN = F.lit(float("nan"))
+def nan() -> Column:
+    return F.lit(float("nan"))
 
 
 def ieee_div(a: Column, b: Column) -> Column:
@@ -17,11 +18,11 @@ def ieee_div(a: Column, b: Column) -> Column:
 
 def ieee_mod(a: Column, b: Column) -> Column:
     """The remainder with the sign of a; x % 0 is NaN."""
-    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(b == 0, NAN).otherwise(a % b)
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(b == 0, nan()).otherwise(a % b)
 
 
 def ln_ieee(a: Column) -> Column:
-    return F.when(a > 0, F.log(a)).when(a == 0, F.lit(float("-inf"))).when(a.isNull(), F.lit(None).cast("double")).otherwise(NAN)
+    return F.when(a > 0, F.log(a)).when(a == 0, F.lit(float("-inf"))).when(a.isNull(), F.lit(None).cast("double")).otherwise(nan())
 
 
 def _whole(a: Column, of) -> Column:
@@ -56,13 +57,6 @@ def compare_literal(col: Column, kind: str, op: str, text: str) -> Column:
     return compare(col, op, F.lit(float(value)))
 
 
-def like_plain(col: Column, pattern: str) -> Column:
-    """LIKE with % and _ only: no escape character."""
-    quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    name = col._jc.toString() if hasattr(col, "_jc") else str(col)
-    return F.expr(f"`{name}` LIKE '{quoted}' ESCAPE '\\u0001'")
-
-
 def bucket(key: Column, width: int) -> Column:
     """Integer division that truncates toward zero, as long."""
     return F.call_function("div", key, F.lit(width).cast("long"))
