@@ -30,7 +30,7 @@ from tidewater.llm.common import table
 BUCKETS = 1 << 16
 DIM = 8
 TRAIN_ROWS = 2000
-EPOCHS = 4
+STEPS = 8000
 RATE = 0.5
 THRESHOLD = 0.3
 CACHE = 200_000
@@ -85,8 +85,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> tupl
     layer, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     weight = len(rows) / (2.0 * np.bincount(labels, minlength=2))  # both labels count alike
     mean = [(i, (c / c.sum()).astype(np.float32)) if len(i) else (i, c) for i, c, _ in rows]
-    steps, step = EPOCHS * len(rows), 0
-    for _ in range(EPOCHS):
+    epochs = max(1, round(STEPS / len(rows)))  # few rows are seen more often
+    steps, step = epochs * len(rows), 0
+    for _ in range(epochs):
         for r in rng.permutation(len(rows)):
             rate = RATE * (1 - step / steps)
             step += 1

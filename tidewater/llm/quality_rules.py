@@ -131,3 +131,29 @@ def apply_rules(docs: DataFrame, text: str = "text", order: list[str] | None = N
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return apply_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+m AS (
+  SELECT rid, doc_id, text, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(len(list_distinct(words)) AS BIGINT) AS distinct_words
+  FROM d),
+w AS (SELECT rid, i, array_to_string(list_slice(words, i, i + 7), ' ') AS s FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM d WHERE len(words) >= 8)),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS c FROM w) WHERE c > 1),
+c AS (SELECT rid, CAST(count(DISTINCT i + k) AS BIGINT) AS n FROM r, (SELECT unnest(range(0, 8)) AS k) GROUP BY rid),
+a AS (
+  SELECT m.*, coalesce(c.n, 0) AS n_repeat_words, n_words < 20 OR 100 * coalesce(c.n, 0) > 30 * n_words AS base_failed,
+         CAST(greatest(n_words, 1) AS DOUBLE) AS n, CAST(greatest(word_chars, 1) AS DOUBLE) AS chars
+  FROM m LEFT JOIN c USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR n_symbols / n > 0.3 OR chars / n > 25 OR chars / n < 1.8 OR n_dup_lines > 0.5 * len(string_split(text, chr(10)))
+    OR length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) / chars > 0.5 OR (length(text) - length(replace(text, '!!', ''))) / 2.0::DOUBLE / n > 0.3
+    OR ((length(text) - length(replace(text, '...', ''))) / 3.0::DOUBLE + length(text) - length(replace(text, chr(8230), ''))) / n > 0.3
+    OR length(regexp_replace(text, '[^\p{L}\p{M}]+', '', 'g')) / chars < 0.5 OR (n_words >= 50 AND distinct_words < 0.05 * n AND distinct_words < 200)) AS kept
+FROM a
+"""

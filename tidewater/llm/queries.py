@@ -8,7 +8,7 @@ from tidewater.llm.line_dedup import op6_line_dedup
 from tidewater.llm.mixing import OP2_SQL, op2_mixing
 from tidewater.llm.packing import op9_packing
 from tidewater.llm.quality_classifier import op3_quality_classifier
-from tidewater.llm.quality_rules import op7_quality_rules
+from tidewater.llm.quality_rules import OP7_SQL, op7_quality_rules
 from tidewater.llm.simhash import op5_simhash
 from tidewater.llm.suffix_dedup import op10_suffix_dedup
 from tidewater.llm.warc import op8_warc
@@ -28,4 +28,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_mixing": OP2_SQL,
+    "op7_quality_rules": OP7_SQL,
 }
