@@ -51,6 +51,11 @@ def _moments(pairs: Column) -> Column:
     return F.when(F.size(pairs) > 0, F.element_at(F.transform(means, second), 1))
 
 
+def _rolled(kind: str, rows: Column) -> Column:
+    """A statistic of an array of (y, x), its moments computed once: an expression is computed anew at each mention, a lambda's variable isn't."""
+    return F.element_at(F.transform(F.transform(F.array(rows), _moments), lambda m: _finish(kind, m)), 1)
+
+
 def _finish(kind: str, m: Column) -> Column:
     n, syy, sxx, sxy = m["n"], m["syy"], m["sxx"], m["sxy"]
     clamp = lambda v: F.when(v < 0, F.lit(0.0)).otherwise(v)  # noqa: E731  NaN is larger than any number here, so it stays
@@ -127,7 +132,7 @@ def rolling_dot(x: Column, y: Column, w: int, by: WindowSpec) -> Column:
 def rolling_var(x: Column, w: int, by: WindowSpec) -> Column:
     """Population variance of the last w rows, anchored at the frame's first row."""
     rows = F.collect_list(F.struct(x.alias("y"), x.alias("x"))).over(by.rowsBetween(-(w - 1), 0))
-    return _finish("var_pop", _moments(rows))
+    return _rolled("var_pop", rows)
 
 
 def rolling_std(x: Column, w: int, by: WindowSpec) -> Column:
