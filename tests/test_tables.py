@@ -160,3 +160,16 @@ def test_view_refusals(db, sql):
 def test_appending_frames_numbers_rows_in_order(db, spark):
     db.table("t").append_frame(spark.range(50).select((50 - F.col("id")).alias("ts"), F.lit("a").alias("sym")))
     assert [r[0] for r in db.query("SELECT _seq AS s, ts FROM t ORDER BY ts").collect()] == list(range(50))
+
+
+def test_arrow_in_and_matrices(db):
+    import numpy as np
+    import pyarrow as pa
+
+    from tidewater.udf import dot, matmat, matvec
+
+    db.append_arrow("t", pa.table({"ts": [2, 1], "sym": ["a", "b"], "x": [1.5, None]}))
+    assert [tuple(r) for r in db.query("SELECT ts, sym, x, _seq AS s FROM t ORDER BY ts").collect()] == [(1, "b", None, 0), (2, "a", 1.5, 1)]
+    a, b = np.arange(6.0).reshape(2, 3), np.arange(12.0).reshape(3, 4)
+    assert np.array_equal(matvec(a.T.reshape(-1), b[:, 0], 2), a @ b[:, 0]) and dot(b[0], b[1]) == b[0] @ b[1]
+    assert np.array_equal(matmat(a.T.reshape(-1), b.T.reshape(-1), 2, 3), (a @ b).T.reshape(-1))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewater.plans.lower import Lowering, Source, lower
 from tidewater.plans.parse import CreateTable, Delete, Insert, Null, Num, Refused, Select, Str, Update, parse
@@ -142,6 +142,10 @@ class Database:
     def append(self, table: str, row) -> int:
         return self.table(table).append(row)
 
+    def append_arrow(self, table: str, batch, order: list[str] | None = None) -> int:
+        """Rows of a pyarrow Table, in the order of ``order`` (default: the ordering key)."""
+        return self.table(table).append_frame(self.spark.createDataFrame(batch), order)
+
     def flush(self) -> None:
         for t in self.tables.values():
             t.flush()
@@ -174,7 +178,7 @@ class Database:
         """Header names are columns; an empty cell is null; values are read by the column's type, and one that doesn't fit fails the import."""
         t = self.table(table)
         header = self.spark.read.text(path).first()
-        names = next(__import__("csv").reader([header[0]])) if header else []
+        names = next(csv.reader([header[0]])) if header else []
         if len(set(names)) < len(names):
             raise Refused("the header names a column twice")
         unknown = [n for n in names if n not in t.schema.fieldNames()]
@@ -226,5 +230,3 @@ def value_of(e):
     assert isinstance(e, Num)
     return int(e.text) if e.text.lstrip("-").isdigit() else float(e.text)
 
-
-__all__ = ["Database", "F"]

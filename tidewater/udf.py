@@ -90,3 +90,13 @@ class ColumnFunction:
 
 def dot(x: np.ndarray, y: np.ndarray) -> float:
     return float(np.dot(x, y))
+
+
+def matvec(a: np.ndarray, x: np.ndarray, rows: int) -> np.ndarray:
+    """a: a matrix of ``rows`` rows, column after column."""
+    return a.reshape(-1, rows).T @ x
+
+
+def matmat(a: np.ndarray, b: np.ndarray, rows: int, inner: int) -> np.ndarray:
+    """Product of two column-major matrices, column-major."""
+    return (a.reshape(inner, rows).T @ b.reshape(-1, inner).T).T.reshape(-1)
