@@ -218,25 +218,27 @@ class View:
         return out.select(*cols, *[s for s, _ in states], F.col(SEQ).alias("__src_seq"), X.bucket(F.col(self.key), self.width).alias(BUCKET))
 
     # what is dirty
-    def _runs(self, buckets: DataFrame) -> list[tuple[int, int]]:
-        """Maximal runs of buckets; so many that a condition would be long are taken as one run, which folds more than it must."""
-        w = Window.orderBy(BUCKET)
-        b = buckets.where(F.col(BUCKET).isNotNull()).distinct()
-        ends = b.agg(F.min(BUCKET), F.max(BUCKET), F.count(F.lit(1))).first()
+    def _runs(self, spans: DataFrame) -> list[tuple[int, int]]:
+        """Maximal runs of buckets that spans (lo, hi) cover; so many that a condition would be long are taken as one run, which folds more than
+        it must. The window runs over distinct spans of touched buckets, not over rows."""
+        b = spans.where("lo <= hi").distinct()
+        ends = b.agg(F.min("lo"), F.max("hi"), F.count(F.lit(1))).first()
         if not ends[2]:
             return []
         if ends[2] > 100_000:
             return [(ends[0], ends[1])]
-        runs = b.withColumn("__r", F.col(BUCKET) - F.row_number().over(w)).groupBy("__r").agg(F.min(BUCKET).alias("lo"), F.max(BUCKET).alias("hi"))
-        found = sorted((r["lo"], r["hi"]) for r in runs.limit(MOST_RUNS + 1).collect())
+        w = Window.orderBy("lo", "hi")
+        far = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        islands = b.withColumn("__new", F.when(F.col("lo") <= far + 1, 0).otherwise(1)).withColumn("__r", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        found = sorted((r["lo"], r["hi"]) for r in islands.groupBy("__r").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).limit(MOST_RUNS + 1).collect())
         return found if len(found) <= MOST_RUNS else [(ends[0], ends[1])]
 
     def dirty(self) -> list[tuple[int, int]] | None:
         """Runs of buckets that the materialisation doesn't answer for; None: all."""
         if self.mat is None or self.record["stamp"] > self.base.next_sequence():
             return None
-        bucket = X.bucket(F.col(self.key), self.width).alias(BUCKET)
-        parts = self.base.touched_keys(self.record["stamp"]).select(bucket)
+        bucket = X.bucket(F.col(self.key), self.width)
+        parts = self.base.touched_keys(self.record["stamp"]).select(bucket.alias("lo"), bucket.alias("hi"))
         if self.dim is not None:
             if self.record["dim_stamp"] > self.dim.next_sequence():
                 return None
@@ -263,10 +265,10 @@ class View:
         spans = quotes.unionByName(new).withColumn("__next", F.min(F.when(F.col("__new") == 0, F.col("__t"))).over(later)).where("__new = 1")
         facts = self.base.frame().agg(F.min(self.key).alias("__lo"), F.max(self.key).alias("__hi")).first()
         if facts[0] is None:
-            return spans.select(F.col("__t").alias(BUCKET)).limit(0)
+            return spans.select(F.col("__t").alias("lo"), F.col("__t").alias("hi")).limit(0)
         lo = X.bucket(F.greatest("__t", F.lit(facts[0])), self.width)
         hi = X.bucket(F.least(F.coalesce("__next", F.lit(facts[1])), F.lit(facts[1])), self.width)
-        return spans.where((F.col("__t") <= facts[1]) & (F.coalesce("__next", F.lit(facts[1])) >= facts[0])).select(F.explode(F.sequence(lo, hi)).alias(BUCKET))
+        return spans.where((F.col("__t") <= facts[1]) & (F.coalesce("__next", F.lit(facts[1])) >= facts[0])).select(lo.alias("lo"), hi.alias("hi"))
 
     # refreshing and reading
     def refresh(self, rebuild: bool = False) -> int | None:
