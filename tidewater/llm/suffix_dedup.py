@@ -38,6 +38,7 @@ WIDTH = 100
 Q = 16
 CHUNK = 1 << 22
 HELD = 1 << 20
+CUT_BYTES = 1 << 25
 RUN = [("anchor", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("lo", "<i8"), ("n", "<u4")]
 SPAN = [("doc", "<i8"), ("lo", "<i8"), ("n", "<u4")]
 PEND = [("anchor", "<u8"), ("doc", "<i8"), ("lo", "<i8"), ("n", "<u4")]
@@ -195,6 +196,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             yield rows_batch([*passed, *dealt(_as(others, SPAN), "doc", buckets, SPANS), *dealt(_as(first[shared], PEND), "doc", buckets, PENDING)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, pieces, size = [], [], 0  # gathered over texts and buckets, so that blocks are large
         for _, blocks in by_bucket(batches):
             found, pend, seen = [np.empty(0, PEND)], None, set()
             for kind, block in blocks:
@@ -204,17 +206,20 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width
                 if pend is None:
                     pend = np.concatenate(found)
                     pend = pend[np.argsort(pend["doc"], kind="stable")]
-                cuts, pieces, size = [], [], 0
                 for doc, text_ in texts_of(block):
-                    lo, hi = np.searchsorted(pend["doc"], [doc, doc + 1] if doc < NONE else [doc], side="left").tolist() + ([len(pend)] if doc == NONE else [])
+                    lo, hi = np.searchsorted(pend["doc"], doc, side="left"), np.searchsorted(pend["doc"], doc, side="right")
                     if lo == hi or doc in seen:
                         continue
                     seen.add(doc)
-                    cuts.append(pend[lo:hi])
-                    pieces += [text_[x:y] for x, y in zip(pend["lo"][lo:hi].tolist(), (pend["lo"][lo:hi] + pend["n"][lo:hi] + width - 1).tolist(), strict=True)]
-                    size += hi - lo
-                if size:
+                    mine = pend[lo:hi]
+                    cuts.append(mine)
+                    pieces += [text_[x:y] for x, y in zip(mine["lo"].tolist(), (mine["lo"] + mine["n"] + width - 1).tolist(), strict=True)]
+                    size += int(mine["n"].sum()) + len(mine) * width
+                if size > CUT_BYTES:
                     yield rows_batch(list(_dealt_cuts(np.concatenate(cuts), pieces, buckets)))
+                    cuts, pieces, size = [], [], 0
+        if cuts:
+            yield rows_batch(list(_dealt_cuts(np.concatenate(cuts), pieces, buckets)))
 
     def by_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blocks in by_bucket(batches):
