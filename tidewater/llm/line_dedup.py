@@ -7,8 +7,8 @@ document, earlier line) is similar: Jaccard of at least 0.8, judged on the input
    code is its frequency class, then its hash, so a line's sorted codes are its words from the rarest on. Any fixed order gives the same result.
 2. *map*: equal lines within a task are settled; of the others the prefix goes out, one record a word: a line of n words shares
    one of its first n - ceil(0.8 n) + 1 with every similar line.
-3. *by word*: a record stays if another one passes the length filter, the positional filter (what is left behind the word suffices for the overlap) and a
-   64-bit map filter. No pairs are emitted: at most one record a line and word.
+3. *by word*: equal lines are settled likewise (a 64-bit hash of the set tells them), so copies leave one line each. A record stays if another one passes the length filter, the positional filter (what is left behind the word suffices for the overlap) and a
+   64-bit parity map. No pairs are emitted: at most one record a line and word.
 4. *by document*: the words of the lines that stay are taken from the texts.
 5. *by word*: lines in order; one that is similar (Jaccard, verified on whole sets) to an earlier one is removed. Equal sets are collapsed first.
 6. *by document*: texts without removed lines.
@@ -19,6 +19,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,19 +28,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.blocks import ROWS, SPANS, TEXTS, bucket_of, by_bucket, dealt, doc_bytes, exchange, flat_bytes, pack, rows_batch, text_blocks, texts_of, unpack
+from tidewater.llm.blocks import ROWS, SPANS, TEXTS, bucket_of, by_bucket, dealt, doc_bytes, exchange, mix, pack, rows_batch, text_blocks, texts_of, unpack
 from tidewater.llm.common import default_parts, table, written
 
 LEAST = 5
 NUM, DEN = 4, 5  # similarity 4/5
 CLASSES = 1 << 16
-CACHE = 300_000
-PREFIX = [("code", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("sig", "<u8")]
+CACHE = 500_000
+PREFIX = [("code", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("sig", "<u8"), ("whole", "<u8")]
 LINE = [("doc", "<i8"), ("line", "<i4")]
 PEND = [("code", "<u8"), ("doc", "<i8"), ("line", "<i4")]
 SETS = [("code", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4")]
 WANT, FIRST, FULL = 1, 2, 5  # kinds of block besides SPANS and TEXTS
 HELD = 1 << 20
+SET_BYTES = 1 << 25
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _HASH = (1 << 48) - 1
 
@@ -59,9 +61,11 @@ class Codes(dict):
         return code
 
 
-def line_sets(text: bytes, codes: Codes) -> Iterator[tuple[int, list[int]]]:
-    """(line number, sorted codes) of the lines that take part."""
+def line_sets(text: bytes, codes: Codes, only: set | None = None) -> Iterator[tuple[int, list[int]]]:
+    """(line number, sorted codes) of the lines that take part; of these, those in ``only``."""
     for i, line in enumerate(text.translate(_LOWER).split(b"\n")):
+        if only is not None and i not in only:
+            continue
         words = line.split()
         if len(words) >= LEAST:
             found = sorted(set(map(codes.__getitem__, words)))
@@ -88,14 +92,19 @@ def word_order(docs: DataFrame, buckets: int = 64) -> np.ndarray:
     size = CLASSES // buckets
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES, np.int64)
-        known = Codes(np.arange(CLASSES))
+        total, seen = np.zeros(CLASSES, np.int64), Counter()
+
+        def fold() -> None:
+            at = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen)) >> np.uint64(48)
+            np.add.at(total, at.astype(np.int64), np.fromiter(seen.values(), np.int64, len(seen)))
+            seen.clear()
+
         for b in batches:
             for text in b.column(1):
-                words = text.as_py().translate(_LOWER).split()
-                total += np.bincount(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) >> np.uint64(48), minlength=CLASSES) if len(words) > 4096 else 0
-                if len(words) <= 4096:
-                    np.add.at(total, (np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) >> np.uint64(48)).astype(np.int64), 1)
+                seen.update(text.as_py().translate(_LOWER).split())
+                if len(seen) > CACHE:
+                    fold()
+        fold()
         part = np.empty(CLASSES, [("n", "<i8")])
         part["n"] = total
         yield rows_batch([(i, 0, pack(part[i * size : (i + 1) * size])) for i in range(buckets)])
@@ -113,9 +122,20 @@ def word_order(docs: DataFrame, buckets: int = 64) -> np.ndarray:
     return np.minimum(np.log2(total + 1.0) * 1024, CLASSES - 1).astype(np.uint16)
 
 
+def settle_equal(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix records of words that stand in several lines: (those of the earliest of equal lines, those of the others)."""
+    order = np.argsort(rows["code"])
+    code = rows["code"][order]
+    same = code[1:] == code[:-1]
+    rows = rows[order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]] if len(rows) else rows
+    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["whole"], rows["code"]))]
+    again = np.zeros(len(rows), bool)
+    again[1:] = (rows["code"][1:] == rows["code"][:-1]) & (rows["whole"][1:] == rows["whole"][:-1])
+    return rows[~again], rows[again]
+
+
 def active(rows: np.ndarray) -> np.ndarray:
-    """Of prefix records, those for which another one under the same word passes all filters. Blocks of 1024 against all of the word's."""
-    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["code"]))]
+    """Of prefix records, sorted by word, those for which another one under the same word passes all filters. Blocks of 1024 against all of the word's."""
     edge = np.flatnonzero(np.concatenate([[True], rows["code"][1:] != rows["code"][:-1]])) if len(rows) else np.zeros(0, np.int64)
     size = np.diff(np.append(edge, len(rows)))
     n, left, sig = rows["n"].astype(np.int64), (rows["n"] - rows["pos"]).astype(np.int64), rows["sig"]
@@ -138,14 +158,16 @@ def active(rows: np.ndarray) -> np.ndarray:
         keep[i + step] = True
     for r in np.flatnonzero(size > 16):
         every = np.arange(edge[r], edge[r] + size[r])
-        for lo in range(0, len(every), 1024):
-            some = every[lo : lo + 1024]
-            a, b = np.repeat(some, 64), None
-            for at in range(0, len(every), 64):  # 1024 x 64 tests at a time
-                other = every[at : at + 64]
-                a, b = np.repeat(some, len(other)), np.tile(other, len(some))
-                ok = (a != b) & test(a, b)
-                keep[a[ok]] = True
+        every = every[np.argsort(n[every], kind="stable")]  # by size, so that the length filter bounds what a block meets
+        for lo in range(0, len(every), 256):
+            some = every[lo : lo + 256]
+            first, last = np.searchsorted(n[every], [n[some[0]] * NUM // DEN, n[some[-1]] * DEN // NUM + 1])
+            for at in range(first, min(last + 1, len(every)), 4096):
+                other = every[at : min(at + 4096, last + 1)]
+                most = (n[some].max() + n[other].max()) * (DEN - NUM) // (NUM + DEN) + 1
+                x, y = np.nonzero(np.bitwise_count(sig[some][:, None] ^ sig[other][None, :]) <= most)
+                a, b = some[x], other[y]
+                keep[a[(a != b) & test(a, b)]] = True
     return rows[keep]
 
 
@@ -181,45 +203,40 @@ def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", buck
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(order)
-        found: list[np.ndarray] = []
-        count = 0
-        first: dict[int, tuple[int, int]] = {}  # hash of a set -> earliest place in this flush
-        gone: list[tuple[int, int]] = []
-        what: dict[int, np.ndarray] = {}
+        flat: list[int] = []  # the codes of all lines, one line after the other
+        sizes: list[int] = []
+        places: list[tuple[int, int]] = []
 
         def flush() -> pa.RecordBatch:
-            rows = np.concatenate([np.empty(0, PREFIX), *found])
-            n = [len(x) for x in what.values()]
-            at = np.array(list(first.values()), dtype=np.int64).reshape(-1, 2)
-            rows["doc"], rows["line"] = np.repeat(at[:, 0], n), np.repeat(at[:, 1], n)
-            out = np.empty(len(gone), LINE)
-            if gone:
-                out["doc"], out["line"] = np.array(gone, dtype=np.int64).T
-            return rows_batch([*dealt(rows, "code", buckets, FIRST), *dealt(out, "doc", buckets, SPANS)])
+            u, n, at = np.array(flat, dtype=np.uint64), np.array(sizes, dtype=np.int64), np.array(places, dtype=np.int64).reshape(-1, 2)
+            if not len(n):
+                return rows_batch([])
+            begin = np.cumsum(n) - n
+            whole = np.add.reduceat(mix(mix(u) + np.uint64(0x9E3779B97F4A7C15)), begin)  # of a set: codes are distinct
+            sig = np.bitwise_xor.reduceat(np.uint64(1) << (u & np.uint64(63)), begin)  # parities: two differ in no more bits than their sets in words
+            by = np.lexsort((at[:, 1], at[:, 0], whole))
+            again = np.zeros(len(n), bool)
+            again[by[1:]] = whole[by[1:]] == whole[by[:-1]]
+            gone = np.empty(int(again.sum()), LINE)
+            gone["doc"], gone["line"] = at[again, 0], at[again, 1]
+            keep = np.flatnonzero(~again)
+            p = n[keep] + (-NUM * n[keep] // DEN) + 1  # prefix_length
+            line = np.repeat(keep, p)
+            rows = np.empty(len(line), PREFIX)
+            rows["pos"] = np.arange(len(line)) - np.repeat(np.cumsum(p) - p, p)
+            rows["code"] = u[begin[line] + rows["pos"]]
+            rows["doc"], rows["line"], rows["n"], rows["sig"], rows["whole"] = at[line, 0], at[line, 1], n[line], sig[line], whole[line]
+            flat.clear(), sizes.clear(), places.clear()
+            return rows_batch([*dealt(rows, "code", buckets, FIRST), *dealt(gone, "doc", buckets, SPANS)])
 
         for b in batches:
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for i, found_codes in line_sets(raw.as_py(), codes):
-                    u = np.array(found_codes, dtype=np.uint64)
-                    h, place = xxhash.xxh3_64_intdigest(u.tobytes()), (doc, i)
-                    if h in first:
-                        if place < first[h]:
-                            first[h], place = place, first[h]
-                        if place != first[h]:
-                            gone.append(place)
-                        continue
-                    first[h] = place
-                    p = prefix_length(len(u))
-                    rows = np.empty(p, PREFIX)
-                    rows["code"], rows["n"], rows["pos"] = u[:p], len(u), np.arange(p)
-                    rows["sig"] = np.bitwise_or.reduce(np.uint64(1) << (u & np.uint64(63)))
-                    what[h] = rows
-                    found.append(rows)
-                    count += p
-            if count >= HELD:
-                yield flush()
-                found.clear(), first.clear(), gone.clear(), what.clear()
-                count = 0
+                for i, found in line_sets(raw.as_py(), codes):
+                    flat += found
+                    sizes.append(len(found))
+                    places.append((doc, i))
+                if len(flat) >= HELD * 4:
+                    yield flush()
         yield flush()
 
     def by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,14 +247,19 @@ def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", buck
                     passed.append((bucket, SPANS, block))
                 else:
                     found.append(unpack(block, PREFIX)[0])
-            stay = active(np.concatenate(found))
+            first, others = settle_equal(np.concatenate(found))
+            stay = active(first)
+            others = others[others["pos"] == 0]
+            gone = np.empty(len(others), LINE)
+            gone["doc"], gone["line"] = others["doc"], others["line"]
             out = np.empty(len(stay), PEND)
             for c, _ in PEND:
                 out[c] = stay[c]
-            yield rows_batch([*passed, *dealt(out, "doc", buckets, WANT)])
+            yield rows_batch([*passed, *dealt(gone, "doc", buckets, SPANS), *dealt(out, "doc", buckets, WANT)])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(order)
+        rec, sets, size = [], [], 0  # gathered over texts and buckets, so that blocks are large
         for _, blocks in by_bucket(batches):
             found, want, seen = [np.empty(0, PEND)], None, set()
             for kind, block in blocks:
@@ -247,14 +269,13 @@ def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", buck
                 if want is None:
                     want = np.concatenate(found)
                     want = want[np.lexsort((want["line"], want["doc"]))]
-                rec, sets = [], []
                 for doc, raw in texts_of(block):
                     lo, hi = np.searchsorted(want["doc"], doc, side="left"), np.searchsorted(want["doc"], doc, side="right")
                     if lo == hi or doc in seen:
                         continue
                     seen.add(doc)
-                    whole = dict(line_sets(raw, codes))
                     mine = want[lo:hi]
+                    whole = dict(line_sets(raw, codes, set(mine["line"].tolist())))
                     got = [np.array(whole.get(i, ()), dtype="<u8") for i in mine["line"].tolist()]
                     r = np.empty(hi - lo, SETS)
                     for c, _ in PEND:
@@ -262,8 +283,12 @@ def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", buck
                     r["n"] = [len(x) for x in got]
                     rec.append(r)
                     sets += got
-                if rec:
+                    size += 8 * int(r["n"].sum())
+                if size > SET_BYTES:
                     yield rows_batch(list(_dealt_sets(np.concatenate(rec), sets, buckets)))
+                    rec, sets, size = [], [], 0
+        if rec:
+            yield rows_batch(list(_dealt_sets(np.concatenate(rec), sets, buckets)))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blocks in by_bucket(batches):
