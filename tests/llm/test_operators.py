@@ -265,6 +265,27 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_every_line(spark, tmp_path, docs, rows):
+    short = [(100 + i, t, None, None, 0, 0.0, 0) for i, t in enumerate(["Menu\nAll rights reserved.\n\n", "all RIGHTS reserved.\nmenu home\n \na a b", "b a\nMenu Home x y\nmenu\n"])]
+    spark.createDataFrame(rows + short, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in line_dedup.op6_line_dedup(spark, str(tmp_path)).collect()}
+    earlier, all_lines = [], 0
+    for i, t, *_ in sorted(rows + short, key=lambda r: r[0]):
+        kept = []
+        for line in (t or "").split("\n"):
+            w = frozenset(lower(line).encode().split())
+            if w:
+                again = any(5 * len(w & x) >= 4 * len(w | x) for x in earlier)
+                earlier.append(w)
+                if again:
+                    continue
+            kept.append(line)
+        lines = len((t or "").split("\n"))
+        all_lines += lines
+        assert (got[i].n_lines, got[i].n_removed, got[i].kept_sha256) == (lines, lines - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()), i
+    assert sum(r.n_lines for r in got.values()) == all_lines
+
+
 def test_packing(docs, rows, empty):
     got = packing.pack_texts(docs, group=7).collect()
     encoder = packing.Encoder()

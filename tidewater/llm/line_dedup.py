@@ -1,7 +1,8 @@
 """Line dedup: an exact set-similarity join of lines.
 
 A line is the set of its words (blank-separated, A-Z lower-cased). A line is removed if an earlier one (smaller doc_id, or same
-document, earlier line) is similar: Jaccard of at least 0.8, judged on the input. Lines of fewer than LEAST = 5 different words stay.
+document, earlier line) is similar: Jaccard of at least 0.8, judged on the input. Blank lines stay. ``op6_line_dedup`` and the pipeline take every other
+line (``least=1``; under 5 words similar means equal); ``dedup_lines`` by itself leaves lines of fewer than LEAST = 5 different words alone unless told otherwise.
 
 1. *frequencies*: how often words occur, in a table of fixed size (2^16 hash buckets, log scale), over all documents. A word's
    code is its frequency class, then its hash, so a line's sorted codes are its words from the rarest on. Any fixed order gives the same result.
@@ -61,15 +62,15 @@ class Codes(dict):
         return code
 
 
-def line_sets(text: bytes, codes: Codes, only: set | None = None) -> Iterator[tuple[int, list[int]]]:
+def line_sets(text: bytes, codes: Codes, only: set | None = None, least: int = LEAST) -> Iterator[tuple[int, list[int]]]:
     """(line number, sorted codes) of the lines that take part; of these, those in ``only``."""
     for i, line in enumerate(text.translate(_LOWER).split(b"\n")):
         if only is not None and i not in only:
             continue
         words = line.split()
-        if len(words) >= LEAST:
+        if len(words) >= least:
             found = sorted(set(map(codes.__getitem__, words)))
-            if len(found) >= LEAST:
+            if len(found) >= least:
                 yield i, found
 
 
@@ -195,7 +196,7 @@ def later_similar(code: np.ndarray, doc: np.ndarray, line: np.ndarray, sets: lis
     return hit
 
 
-def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int | None = None, least: int = LEAST) -> tuple[DataFrame, DataFrame, int]:
     """(blocks of removed lines by document bucket, blocks of texts by the same, buckets)."""
     buckets = buckets or 2 * default_parts(docs, 32)
     d = doc_bytes(docs, key, text)
@@ -231,7 +232,7 @@ def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", buck
 
         for b in batches:
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for i, found in line_sets(raw.as_py(), codes):
+                for i, found in line_sets(raw.as_py(), codes, least=least):
                     flat += found
                     sizes.append(len(found))
                     places.append((doc, i))
@@ -275,7 +276,7 @@ def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", buck
                         continue
                     seen.add(doc)
                     mine = want[lo:hi]
-                    whole = dict(line_sets(raw, codes, set(mine["line"].tolist())))
+                    whole = dict(line_sets(raw, codes, set(mine["line"].tolist()), least))
                     got = [np.array(whole.get(i, ()), dtype="<u8") for i in mine["line"].tolist()]
                     r = np.empty(hi - lo, SETS)
                     for c, _ in PEND:
@@ -322,9 +323,9 @@ def _dealt_sets(rec: np.ndarray, sets: list[np.ndarray], buckets: int) -> Iterat
         yield int(to[i]), FULL, pack(rec[by[i:j]], b"".join(sets[x].tobytes() for x in by[i:j]))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int | None = None, least: int = LEAST) -> DataFrame:
     """(key, n_lines, n_removed, text without the removed lines) for each row."""
-    removed, texts, buckets = similar_lines(docs, key, text, buckets)
+    removed, texts, buckets = similar_lines(docs, key, text, buckets, least)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blocks in by_bucket(batches):
@@ -351,5 +352,5 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(table(spark, sf_dir, "documents"))
+    found = dedup_lines(table(spark, sf_dir, "documents"), least=1)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
