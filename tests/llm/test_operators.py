@@ -342,6 +342,40 @@ def test_suffix_dedup(docs, rows, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+REPEATED = "doc_id long, text string, lang string"
+
+
+def repeated():
+    rnd = random.Random(9)
+    prose = lambda n: "\n".join(" ".join("".join(rnd.choice("aeiortn") for _ in range(6)) for _ in range(9)) for _ in range(n))
+    a, b, c, d = prose(5), prose(2), prose(6), prose(3)
+    out = [(1, a), (1, a), (2, b), (2, c), (2, c), (3, a + "\n" + b), (None, d), (None, d), (None, c + d), (None, prose(2)), (2**63 - 1, d), (4, None), (4, None), (None, None)]
+    return [(i, t, str(n)) for n, (i, t) in enumerate(out)]
+
+
+def in_order(spark, rows):
+    """Distinct (doc_id, text) as the operators order them: null ids last, then by hash of the text."""
+    distinct = list(dict.fromkeys((i, t or "") for i, t, _ in rows))
+    h = [r.h for r in spark.createDataFrame([(n, t) for n, (_, t) in enumerate(distinct)], "n int, t string").selectExpr("n", "shiftrightunsigned(xxhash64(cast(t as binary)), 1) AS h").orderBy("n").collect()]
+    return [x for _, x in sorted(zip(h, distinct), key=lambda y: (y[1][0] is None, y[1][0] or 0, y[0]))]
+
+
+def test_suffix_dedup_of_repeated_rows_and_null_ids(spark):
+    rows = repeated()
+    seen, want = set(), {}
+    for i, t in in_order(spark, rows):
+        b = t.encode()
+        hit = bytearray(len(b))
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                hit[k : k + 100] = b"\x01" * 100
+            seen.add(b[k : k + 100])
+        want[i, t] = (len(b), sum(hit), bytes(x for x, y in zip(b, hit) if not y))
+    for parts in (1, 5):
+        got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, REPEATED).repartition(parts), buckets=3).collect()
+        assert sorted(((str(r.doc_id), r.n_bytes, r.n_removed, bytes(r.kept)) for r in got)) == sorted((str(i), *want[i, t or ""]) for i, t, _ in rows)
+
+
 def test_minimizer_runs_of_a_text_over_the_chunk(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 1 << 10)
     rnd = random.Random(3)

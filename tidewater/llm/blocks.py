@@ -19,12 +19,39 @@ NONE = 2**63 - 1
 ROWS = "bucket int, kind int, block binary"
 #: Kinds of block, in the order in which a task must see them.
 SPANS, PENDING, RUNS, TEXTS, CUTS = range(5)
-TEXT_HEAD = [("doc", "<i8"), ("size", "<i8")]
+TEXT_HEAD = [("doc", "<i8"), ("h", "<u8"), ("size", "<i8")]
 
 
-def doc_bytes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, bytes): a null key is NONE, a null text empty."""
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NONE)).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes"))
+def doc_bytes(docs: DataFrame, key: str, text: str, carry: tuple = ()) -> DataFrame:
+    """(doc, bytes, h, carried columns): a null key is NONE, a null text empty. (doc, h) is the id of a distinct row (key, text): h is
+    63 bits of a hash of the text, under a top bit that tells a null key from a key that is NONE."""
+    k, b = F.col(key).cast("long"), F.coalesce(F.col(text), F.lit("")).cast("binary")
+    h = F.shiftrightunsigned(F.xxhash64(b), 1).bitwiseOR(F.when(k.isNull(), F.lit(-(2**63))).otherwise(F.lit(0)))
+    return docs.select(F.coalesce(k, F.lit(NONE)).alias("doc"), b.alias("bytes"), h.alias("h"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
+
+
+def key_of(doc: int, h: int) -> int | None:
+    return None if h >> 63 else doc
+
+
+def id_hash(a: np.ndarray) -> np.ndarray:
+    """Of the (doc, h) of records."""
+    return mix(a["doc"].astype(np.int64).view(np.uint64)) ^ a["h"]
+
+
+def by_id(a: np.ndarray) -> tuple[np.ndarray, dict[tuple[int, int], slice]]:
+    """Records sorted by (doc, h), and where those of each are."""
+    a = a[np.lexsort((a["h"], a["doc"]))]
+    edge = np.flatnonzero(np.concatenate([[True], (a["doc"][1:] != a["doc"][:-1]) | (a["h"][1:] != a["h"][:-1])])) if len(a) else np.zeros(0, np.int64)
+    return a, {(d, h): slice(i, j) for d, h, i, j in zip(a["doc"][edge].tolist(), a["h"][edge].tolist(), edge.tolist(), [*edge[1:].tolist(), len(a)], strict=False)}
+
+
+def as_before(a: np.ndarray, *names: str) -> np.ndarray:
+    """Which records have the same values as the one before them."""
+    out = np.zeros(len(a), bool)
+    if len(a):
+        out[1:] = np.logical_and.reduce([a[c][1:] == a[c][:-1] for c in names])
+    return out
 
 
 def pack(a: np.ndarray, extra: bytes = b"") -> bytes:
@@ -54,10 +81,10 @@ def bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def dealt(a: np.ndarray, by: str, buckets: int, kind: int) -> Iterator[tuple[int, int, bytes]]:
-    """Blocks of rows by bucket."""
+    """Blocks of rows by bucket; those by "doc" are dealt by (doc, h)."""
     if not len(a):
         return
-    to = bucket_of(a[by].view(np.uint64), buckets)
+    to = bucket_of(id_hash(a) if by == "doc" else a[by].view(np.uint64), buckets)
     order = np.argsort(to, kind="stable")
     to = to[order]
     cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
@@ -88,28 +115,42 @@ def exchange(df: DataFrame, buckets: int) -> DataFrame:
     return df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
 
 
-def texts_of(block: bytes) -> Iterator[tuple[int, bytes]]:
-    head, data = unpack(block, [("doc", "<i8"), ("size", "<i8")])
+def texts_of(block: bytes) -> Iterator[tuple[tuple[int, int], bytes]]:
+    """((doc, h), text) of each row."""
+    head, data = unpack(block, TEXT_HEAD)
     at = 0
-    for doc, size in zip(head["doc"].tolist(), head["size"].tolist(), strict=True):
-        yield doc, data[at : at + size]
+    for doc, h, size in zip(head["doc"].tolist(), head["h"].tolist(), head["size"].tolist(), strict=True):
+        yield (doc, h), data[at : at + size]
         at += size
 
 
+def carried_of(block: bytes) -> list[pa.Array]:
+    """The carried columns of the rows of a block of texts."""
+    head, data = unpack(block, TEXT_HEAD)
+    return pa.ipc.open_stream(data[int(head["size"].sum()) :]).read_next_batch().columns
+
+
 def text_blocks(buckets: int):
-    """A function for mapInArrow: (doc, bytes) -> blocks of texts by document bucket."""
+    """A function for mapInArrow: (doc, bytes, h, carried columns) -> blocks of texts by (doc, h)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = flat_bytes(b.column(1))
-            doc = b.column(0).to_numpy(zero_copy_only=False)
-            to = bucket_of(doc.view(np.uint64), buckets)
+            every = np.empty(b.num_rows, TEXT_HEAD)
+            every["doc"], every["h"] = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            every["size"] = np.diff(off)
+            to = bucket_of(id_hash(every), buckets)
+            rest = b.select(b.schema.names[3:]) if b.num_columns > 3 else None
             rows = []
             for bucket in np.unique(to):
                 i = np.flatnonzero(to == bucket)
-                head = np.empty(len(i), [("doc", "<i8"), ("size", "<i8")])
-                head["doc"], head["size"] = doc[i], off[i + 1] - off[i]
-                rows.append((int(bucket), TEXTS, pack(head, b"".join(data[off[x] : off[x + 1]].tobytes() for x in i))))
+                more = b""
+                if rest is not None:
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, rest.schema) as out:
+                        out.write_batch(rest.take(pa.array(i)))
+                    more = sink.getvalue().to_pybytes()
+                rows.append((int(bucket), TEXTS, pack(every[i], b"".join(data[off[x] : off[x + 1]].tobytes() for x in i) + more)))
             yield rows_batch(rows)
 
     return run

@@ -17,8 +17,9 @@ bytes, document, place.
 
 Records travel as compressed blocks of columns, dealt over buckets by hash. Texts travel twice, compressed; a bucket's size is set by ``buckets``.
 
-Nulls: a null text is empty; a null doc_id comes after all others. Rows with equal doc_id and equal text are one document, returned for each row. A doc_id that has
-different texts is told apart by a hash of the text. Texts under WIDTH bytes keep all. An empty table gives no rows.
+Nulls: a null text is empty; a null doc_id comes after all others. Rows with equal doc_id and equal text are one document, returned for each row: records name
+their document by (doc_id, 63-bit hash of the text), and equal records count once. Different texts of one doc_id (or of null ids) stand in
+order of that hash. Texts under WIDTH bytes keep all. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.blocks import CUTS, NONE, PENDING, ROWS, RUNS, SPANS, bucket_of, by_bucket, dealt, doc_bytes, exchange, flat_bytes, mix, pack, rows_batch, text_blocks, texts_of, unpack
+from tidewater.llm.blocks import CUTS, PENDING, ROWS, RUNS, SPANS, as_before, bucket_of, by_bucket, by_id, dealt, doc_bytes, exchange, flat_bytes, key_of, mix, pack, rows_batch, text_blocks, texts_of, unpack
 from tidewater.llm.common import default_parts, table, written
 
 WIDTH = 100
@@ -39,9 +40,9 @@ Q = 16
 CHUNK = 1 << 22
 HELD = 1 << 20
 CUT_BYTES = 1 << 25
-RUN = [("anchor", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("lo", "<i8"), ("n", "<u4")]
-SPAN = [("doc", "<i8"), ("lo", "<i8"), ("n", "<u4")]
-PEND = [("anchor", "<u8"), ("doc", "<i8"), ("lo", "<i8"), ("n", "<u4")]
+RUN = [("anchor", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("h", "<u8"), ("lo", "<i8"), ("n", "<u4")]
+SPAN = [("doc", "<i8"), ("h", "<u8"), ("lo", "<i8"), ("n", "<u4")]
+PEND = [("anchor", "<u8"), ("doc", "<i8"), ("h", "<u8"), ("lo", "<i8"), ("n", "<u4")]
 
 
 def eights(data: np.ndarray) -> np.ndarray:
@@ -80,12 +81,11 @@ def minimizer_runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray, width:
 
 
 def settle(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first of each set of equal runs, all others)."""
-    order = np.lexsort((runs["lo"], runs["doc"], runs["whole"], runs["anchor"]))
-    runs = runs[order]
-    first = np.ones(len(runs), bool)
-    first[1:] = (runs["anchor"][1:] != runs["anchor"][:-1]) | (runs["whole"][1:] != runs["whole"][:-1])
-    return runs[first], runs[~first]
+    """(first of each set of equal runs, all others). Runs of equal rows are the same run."""
+    runs = runs[np.lexsort((runs["lo"], runs["h"], runs["doc"], runs["whole"], runs["anchor"]))]
+    runs = runs[~as_before(runs, "anchor", "whole", "doc", "h", "lo")]
+    again = as_before(runs, "anchor", "whole")
+    return runs[~again], runs[again]
 
 
 def _as(a: np.ndarray, dtype: list) -> np.ndarray:
@@ -153,7 +153,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width
 
         for b in batches:
             data, off = flat_bytes(b.column(1))
-            doc = b.column(0).to_numpy(zero_copy_only=False)
+            doc, h = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
             whole_of = xxhash.xxh3_64_intdigest
             i = 0
             while i < len(doc):
@@ -167,7 +167,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width
                     t, at, n, anchor = minimizer_runs(part, begin, end, width)
                     raw = part.tobytes()
                     r = np.empty(len(t), RUN)
-                    r["anchor"], r["doc"], r["lo"], r["n"] = anchor, doc[i + t], at + lo - off[i + t], n
+                    r["anchor"], r["doc"], r["h"], r["lo"], r["n"] = anchor, doc[i + t], h[i + t], at + lo - off[i + t], n
                     r["whole"] = np.fromiter((whole_of(raw[x:y]) for x, y in zip(at.tolist(), (at + n + width - 1).tolist(), strict=True)), np.uint64, len(t))
                     held.append(r)
                     count += len(r)
@@ -204,14 +204,12 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width
                     found.append(unpack(block, PEND)[0])
                     continue
                 if pend is None:
-                    pend = np.concatenate(found)
-                    pend = pend[np.argsort(pend["doc"], kind="stable")]
+                    pend, where = by_id(np.concatenate(found))
                 for doc, text_ in texts_of(block):
-                    lo, hi = np.searchsorted(pend["doc"], doc, side="left"), np.searchsorted(pend["doc"], doc, side="right")
-                    if lo == hi or doc in seen:
+                    if doc not in where or doc in seen:
                         continue
                     seen.add(doc)
-                    mine = pend[lo:hi]
+                    mine = pend[where[doc]]
                     cuts.append(mine)
                     pieces += [text_[x:y] for x, y in zip(mine["lo"].tolist(), (mine["lo"] + mine["n"] + width - 1).tolist(), strict=True)]
                     size += int(mine["n"].sum()) + len(mine) * width
@@ -227,15 +225,15 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             rec, data = np.concatenate([r for r, _ in got]), np.frombuffer(b"".join(x for _, x in got), np.uint8)
             size = rec["n"].astype(np.int64) + width - 1
             (t, place), bucket = refine(data, np.cumsum(size) - size, rec["n"].astype(np.int64), width)
-            doc, lo = rec["doc"][t], rec["lo"][t] + place
-            order = np.lexsort((lo, doc, bucket))
+            doc, h, lo = rec["doc"][t], rec["h"][t], rec["lo"][t] + place
+            order = np.lexsort((lo, h, doc, bucket))
             again = np.concatenate([[False], bucket[order][1:] == bucket[order][:-1]]) if len(order) else np.zeros(0, bool)
-            doc, lo = doc[order][again], lo[order][again]
-            order = np.lexsort((lo, doc))
-            doc, lo = doc[order], lo[order]
-            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (lo[1:] != lo[:-1] + 1)])) if len(doc) else np.zeros(0, np.int64)
+            doc, h, lo = doc[order][again], h[order][again], lo[order][again]
+            order = np.lexsort((lo, h, doc))
+            doc, h, lo = doc[order], h[order], lo[order]
+            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]) | (lo[1:] != lo[:-1] + 1)])) if len(doc) else np.zeros(0, np.int64)
             out = np.empty(len(first), SPAN)
-            out["doc"], out["lo"], out["n"] = doc[first], lo[first], np.diff(np.append(first, len(doc)))
+            out["doc"], out["h"], out["lo"], out["n"] = doc[first], h[first], lo[first], np.diff(np.append(first, len(doc)))
             yield rows_batch(list(dealt(out, "doc", buckets, SPANS)))
 
     settled = written(exchange(d.mapInArrow(runs, ROWS), buckets).mapInArrow(by_anchor, ROWS), "repeats")
@@ -269,25 +267,22 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, buckets: int | None = No
                     found.append(unpack(block, SPAN)[0])
                     continue
                 if gone is None:
-                    gone = np.concatenate(found)
-                    gone = gone[np.argsort(gone["doc"], kind="stable")]
+                    gone, where = by_id(np.concatenate(found))
                 cols: list[list] = [[] for _ in range(5)]
                 for doc, text in texts_of(block):
-                    lo, hi = np.searchsorted(gone["doc"], doc, side="left"), np.searchsorted(gone["doc"], doc, side="right")
-                    n = len(text)
-                    if lo == hi:
-                        row = (doc, n, 0, 0, text)
+                    n, mine = len(text), where.get(doc)
+                    if mine is None:
+                        row = (key_of(*doc), n, 0, 0, text)
                     else:
                         edge = np.zeros(n + 1, np.int32)
-                        np.add.at(edge, gone["lo"][lo:hi], 1)
-                        np.add.at(edge, gone["lo"][lo:hi] + gone["n"][lo:hi] + (width - 1), -1)
+                        np.add.at(edge, gone["lo"][mine], 1)
+                        np.add.at(edge, gone["lo"][mine] + gone["n"][mine] + (width - 1), -1)
                         hit = np.cumsum(edge[:n]) > 0
                         rise = int(hit[0]) + int((hit[1:] & ~hit[:-1]).sum())
-                        row = (doc, n, int(hit.sum()), rise, np.frombuffer(text, np.uint8)[~hit].tobytes())
+                        row = (key_of(*doc), n, int(hit.sum()), rise, np.frombuffer(text, np.uint8)[~hit].tobytes())
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
                 kinds = [pa.int64()] * 4 + [pa.binary()]
-                cols[0] = [None if x == NONE else x for x in cols[0]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in KEPT.split(", ")])
 
     return exchange(spans.unionByName(texts), buckets).mapInArrow(finish, KEPT)
