@@ -265,6 +265,23 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_repeated_rows_and_null_ids(spark):
+    rows = repeated()
+    earlier, want = [], {}
+    for i, t in in_order(spark, rows):
+        kept = []
+        for line in t.split("\n"):
+            w = frozenset(line.split())
+            again = len(w) >= 5 and any(5 * len(w & x) >= 4 * len(w | x) for x in earlier)
+            earlier.append(w)
+            if not again:
+                kept.append(line)
+        want[i, t] = "\n".join(kept)
+    for parts in (1, 5):
+        got = line_dedup.dedup_lines(spark.createDataFrame(rows, REPEATED).repartition(parts), buckets=3, carry=("lang",)).collect()
+        assert sorted((r.lang, str(r.doc_id), r.text) for r in got) == sorted((n, str(i), want[i, t or ""]) for i, t, n in rows)
+
+
 def test_line_dedup_of_every_line(spark, tmp_path, docs, rows):
     short = [(100 + i, t, None, None, 0, 0.0, 0) for i, t in enumerate(["Menu\nAll rights reserved.\n\n", "all RIGHTS reserved.\nmenu home\n \na a b", "b a\nMenu Home x y\nmenu\n"])]
     spark.createDataFrame(rows + short, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")

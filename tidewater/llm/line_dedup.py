@@ -14,8 +14,9 @@ line (``least=1``; under 5 words similar means equal); ``dedup_lines`` by itself
 5. *by word*: lines in order; one that is similar (Jaccard, verified on whole sets) to an earlier one is removed. Equal sets are collapsed first.
 6. *by document*: texts without removed lines.
 
-Nulls: a null text is empty and stays empty; a null doc_id comes after all others. Rows with equal doc_id and text are one document. An empty
-table gives no rows.
+Nulls: a null text is empty and stays empty; a null doc_id comes after all others. Rows with equal doc_id and text are one document, returned for each row:
+records name it by (doc_id, 63-bit hash of the text), and equal records count once. Different texts of one doc_id (or of null ids) stand in order of
+that hash. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,17 +30,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.blocks import ROWS, SPANS, TEXTS, bucket_of, by_bucket, dealt, doc_bytes, exchange, mix, pack, rows_batch, text_blocks, texts_of, unpack
+from tidewater.llm.blocks import ROWS, SPANS, as_before, bucket_of, by_bucket, by_id, carried_of, dealt, doc_bytes, exchange, key_of, mix, pack, rows_batch, text_blocks, texts_of, unpack
 from tidewater.llm.common import default_parts, table, written
 
 LEAST = 5
 NUM, DEN = 4, 5  # similarity 4/5
 CLASSES = 1 << 16
 CACHE = 500_000
-PREFIX = [("code", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("sig", "<u8"), ("whole", "<u8")]
-LINE = [("doc", "<i8"), ("line", "<i4")]
-PEND = [("code", "<u8"), ("doc", "<i8"), ("line", "<i4")]
-SETS = [("code", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4")]
+PREFIX = [("code", "<u8"), ("doc", "<i8"), ("h", "<u8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("sig", "<u8"), ("whole", "<u8")]
+LINE = [("doc", "<i8"), ("h", "<u8"), ("line", "<i4")]
+PEND = [("code", "<u8"), ("doc", "<i8"), ("h", "<u8"), ("line", "<i4")]
+SETS = [("code", "<u8"), ("doc", "<i8"), ("h", "<u8"), ("line", "<i4"), ("n", "<i4")]
 WANT, FIRST, FULL = 1, 2, 5  # kinds of block besides SPANS and TEXTS
 HELD = 1 << 20
 SET_BYTES = 1 << 25
@@ -129,9 +130,9 @@ def settle_equal(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     code = rows["code"][order]
     same = code[1:] == code[:-1]
     rows = rows[order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]] if len(rows) else rows
-    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["whole"], rows["code"]))]
-    again = np.zeros(len(rows), bool)
-    again[1:] = (rows["code"][1:] == rows["code"][:-1]) & (rows["whole"][1:] == rows["whole"][:-1])
+    rows = rows[np.lexsort((rows["line"], rows["h"], rows["doc"], rows["whole"], rows["code"]))]
+    rows = rows[~as_before(rows, "code", "whole", "doc", "h", "line")]
+    again = as_before(rows, "code", "whole")
     return rows[~again], rows[again]
 
 
@@ -172,9 +173,9 @@ def active(rows: np.ndarray) -> np.ndarray:
     return rows[keep]
 
 
-def later_similar(code: np.ndarray, doc: np.ndarray, line: np.ndarray, sets: list[frozenset]) -> np.ndarray:
+def later_similar(code: np.ndarray, doc: np.ndarray, h: np.ndarray, line: np.ndarray, sets: list[frozenset]) -> np.ndarray:
     """Which entries have an earlier similar one under the same word. Among equal sets the earliest stands for all."""
-    order = np.lexsort((line, doc, code))
+    order = np.lexsort((line, h, doc, code))
     hit = np.zeros(len(code), bool)
     at = 0
     while at < len(order):
@@ -196,46 +197,50 @@ def later_similar(code: np.ndarray, doc: np.ndarray, line: np.ndarray, sets: lis
     return hit
 
 
-def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int | None = None, least: int = LEAST) -> tuple[DataFrame, DataFrame, int]:
+def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int | None = None, least: int = LEAST, carry: tuple = ()) -> tuple[DataFrame, DataFrame, int]:
     """(blocks of removed lines by document bucket, blocks of texts by the same, buckets)."""
     buckets = buckets or 2 * default_parts(docs, 32)
     d = doc_bytes(docs, key, text)
+    carried = doc_bytes(docs, key, text, carry)
     order = word_order(d)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(order)
         flat: list[int] = []  # the codes of all lines, one line after the other
         sizes: list[int] = []
-        places: list[tuple[int, int]] = []
+        places: list[tuple[int, int, int]] = []
 
         def flush() -> pa.RecordBatch:
-            u, n, at = np.array(flat, dtype=np.uint64), np.array(sizes, dtype=np.int64), np.array(places, dtype=np.int64).reshape(-1, 2)
+            u, n = np.array(flat, dtype=np.uint64), np.array(sizes, dtype=np.int64)
+            at = np.array(places, dtype=[("doc", "<i8"), ("h", "<i8"), ("line", "<i4")]).astype(LINE, casting="unsafe")
             if not len(n):
                 return rows_batch([])
             begin = np.cumsum(n) - n
             whole = np.add.reduceat(mix(mix(u) + np.uint64(0x9E3779B97F4A7C15)), begin)  # of a set: codes are distinct
             sig = np.bitwise_xor.reduceat(np.uint64(1) << (u & np.uint64(63)), begin)  # parities: two differ in no more bits than their sets in words
-            by = np.lexsort((at[:, 1], at[:, 0], whole))
-            again = np.zeros(len(n), bool)
+            by = np.lexsort((at["line"], at["h"], at["doc"], whole))
+            again, same = np.zeros(len(n), bool), np.zeros(len(n), bool)
             again[by[1:]] = whole[by[1:]] == whole[by[:-1]]
-            gone = np.empty(int(again.sum()), LINE)
-            gone["doc"], gone["line"] = at[again, 0], at[again, 1]
+            same[by] = as_before(at[by], "doc", "h", "line")  # of equal rows
+            gone = at[again & ~same]
             keep = np.flatnonzero(~again)
             p = n[keep] + (-NUM * n[keep] // DEN) + 1  # prefix_length
             line = np.repeat(keep, p)
             rows = np.empty(len(line), PREFIX)
             rows["pos"] = np.arange(len(line)) - np.repeat(np.cumsum(p) - p, p)
             rows["code"] = u[begin[line] + rows["pos"]]
-            rows["doc"], rows["line"], rows["n"], rows["sig"], rows["whole"] = at[line, 0], at[line, 1], n[line], sig[line], whole[line]
+            for c, _ in LINE:
+                rows[c] = at[c][line]
+            rows["n"], rows["sig"], rows["whole"] = n[line], sig[line], whole[line]
             flat.clear(), sizes.clear(), places.clear()
             return rows_batch([*dealt(rows, "code", buckets, FIRST), *dealt(gone, "doc", buckets, SPANS)])
 
         for b in batches:
-            for doc, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for doc, raw, h in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 for i, found in line_sets(raw.as_py(), codes, least=least):
                     flat += found
                     sizes.append(len(found))
-                    places.append((doc, i))
+                    places.append((doc, h, i))
                 if len(flat) >= HELD * 4:
                     yield flush()
         yield flush()
@@ -252,7 +257,8 @@ def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", buck
             stay = active(first)
             others = others[others["pos"] == 0]
             gone = np.empty(len(others), LINE)
-            gone["doc"], gone["line"] = others["doc"], others["line"]
+            for c, _ in LINE:
+                gone[c] = others[c]
             out = np.empty(len(stay), PEND)
             for c, _ in PEND:
                 out[c] = stay[c]
@@ -268,17 +274,15 @@ def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", buck
                     found.append(unpack(block, PEND)[0])
                     continue
                 if want is None:
-                    want = np.concatenate(found)
-                    want = want[np.lexsort((want["line"], want["doc"]))]
+                    want, where = by_id(np.concatenate(found))
                 for doc, raw in texts_of(block):
-                    lo, hi = np.searchsorted(want["doc"], doc, side="left"), np.searchsorted(want["doc"], doc, side="right")
-                    if lo == hi or doc in seen:
+                    if doc not in where or doc in seen:
                         continue
                     seen.add(doc)
-                    mine = want[lo:hi]
+                    mine = want[where[doc]]
                     whole = dict(line_sets(raw, codes, set(mine["line"].tolist()), least))
                     got = [np.array(whole.get(i, ()), dtype="<u8") for i in mine["line"].tolist()]
-                    r = np.empty(hi - lo, SETS)
+                    r = np.empty(len(mine), SETS)
                     for c, _ in PEND:
                         r[c] = mine[c]
                     r["n"] = [len(x) for x in got]
@@ -302,13 +306,13 @@ def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", buck
                     sets.append(frozenset(flat[at : at + n].tolist()))
                     at += n
             r = np.concatenate(rec)
-            hit = later_similar(r["code"], r["doc"], r["line"], sets)
+            hit = later_similar(r["code"], r["doc"], r["h"], r["line"], sets)
             out = np.empty(int(hit.sum()), LINE)
-            out["doc"], out["line"] = r["doc"][hit], r["line"][hit]
+            out["doc"], out["h"], out["line"] = r["doc"][hit], r["h"][hit], r["line"][hit]
             yield rows_batch(list(dealt(np.unique(out), "doc", buckets, SPANS)))
 
     settled = written(exchange(d.mapInArrow(lines, ROWS), buckets).mapInArrow(by_word, ROWS), "lines")
-    texts = d.mapInArrow(text_blocks(buckets), ROWS)
+    texts = carried.mapInArrow(text_blocks(buckets), ROWS)
     wanted = exchange(settled.where(F.col("kind") == WANT).unionByName(texts), buckets).mapInArrow(take, ROWS)
     removed = exchange(wanted, buckets).mapInArrow(verify, ROWS)
     return settled.where(F.col("kind") == SPANS).unionByName(removed), texts, buckets
@@ -323,9 +327,9 @@ def _dealt_sets(rec: np.ndarray, sets: list[np.ndarray], buckets: int) -> Iterat
         yield int(to[i]), FULL, pack(rec[by[i:j]], b"".join(sets[x].tobytes() for x in by[i:j]))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int | None = None, least: int = LEAST) -> DataFrame:
-    """(key, n_lines, n_removed, text without the removed lines) for each row."""
-    removed, texts, buckets = similar_lines(docs, key, text, buckets, least)
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int | None = None, least: int = LEAST, carry: tuple = ()) -> DataFrame:
+    """(key, n_lines, n_removed, text without the removed lines, columns in ``carry`` as they are) for each row."""
+    removed, texts, buckets = similar_lines(docs, key, text, buckets, least, carry)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blocks in by_bucket(batches):
@@ -335,20 +339,19 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket
                     found.append(unpack(block, LINE)[0])
                     continue
                 if gone is None:
-                    gone = np.unique(np.concatenate(found))
+                    gone, where = by_id(np.concatenate(found))
                 cols: list[list] = [[] for _ in range(4)]
                 for doc, raw in texts_of(block):
-                    lo, hi = np.searchsorted(gone["doc"], doc, side="left"), np.searchsorted(gone["doc"], doc, side="right")
                     lines = raw.split(b"\n")
-                    drop = set(gone["line"][lo:hi].tolist())
+                    drop = set(gone["line"][where[doc]].tolist()) if doc in where else ()
                     kept = raw if not drop else b"\n".join(x for i, x in enumerate(lines) if i not in drop)
-                    for c, v in zip(cols, (doc, len(lines), len(drop), kept.decode("utf-8", "replace")), strict=True):
+                    for c, v in zip(cols, (key_of(*doc), len(lines), len(drop), kept.decode("utf-8", "replace")), strict=True):
                         c.append(v)
                 kinds = [pa.int64()] * 3 + [pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [key, "n_lines", "n_removed", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)] + (carried_of(block) if carry else []), [key, "n_lines", "n_removed", "text", *carry])
 
-    out = exchange(removed.unionByName(texts), buckets).mapInArrow(finish, f"{key} long, n_lines long, n_removed long, text string")
-    return out.withColumn(key, F.when(F.col(key) != 2**63 - 1, F.col(key)))
+    schema = ", ".join([f"`{key}` long, n_lines long, n_removed long, text string", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]])
+    return exchange(removed.unionByName(texts), buckets).mapInArrow(finish, schema)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
