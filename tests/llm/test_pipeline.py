@@ -28,3 +28,19 @@ def test_stages_keep_clean_documents_and_drop_copies(spark):
             assert seen[-1] == seen[-2]
     pieces = C.STAGES[-1][1](spark, docs, DIR).collect()
     assert {p.doc_id for p in pieces} == seen[-1]
+
+
+def test_lines_and_mix_keep_null_and_repeated_ids(spark):
+    import corpus_pipeline as C
+
+    rows = [(None, f"clean text number {i} of its own", "en", "a", 0) for i in range(4)] + [(7, f"other line {i} {i}a {i}b {i}c {i}d", f"l{i}", "b", 0) for i in range(3)] + [(8, "twice the very same row stands here", None, None, 0)] * 2
+    docs = spark.createDataFrame([(i, t, g, s, len(t)) for i, t, g, s, _ in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    # a similar line is removed, its row stays
+    got = [tuple(r) for r in C.lines(spark, docs, DIR).select("doc_id", "lang", "source").collect()]
+    assert sorted(map(str, got)) == sorted(str((i, g, s)) for i, _, g, s, _ in rows)
+    from tidewater.llm import mixing
+
+    sizes = docs.selectExpr("doc_id", "source", "cast(size(split(text, ' ')) as long) as size")
+    want = mixing.mix_copies(sizes).selectExpr("sum(copies)").first()[0]
+    mixed = [tuple(r) for r in C.mix(spark, docs, DIR).collect()]
+    assert len(mixed) == want and set(mixed) <= {tuple(r) for r in docs.collect()}

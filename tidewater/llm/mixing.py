@@ -62,12 +62,14 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     return s.withColumn("target", level_target).drop("_cap", "_left", "_weights", "_level")
 
 
-def mix_copies(docs: DataFrame, key: str = "doc_id", size: str = "size", source: str = "source") -> DataFrame:
-    """For rows of (key, size, source): key, source, size, source_size, target, copies (0 to 2). Rows stay apart even if
+def mix_copies(docs: DataFrame, key: str = "doc_id", size: str = "size", source: str = "source", carry: tuple = ()) -> DataFrame:
+    """For rows of (key, size, source): key, source, size, source_size, target, copies (0 to 2), and the columns in ``carry`` as they are. Rows stay apart even if
     they are equal. The rows are first written to the shared folder, since two paths read them."""
     d = docs.select(
-        F.col(key).alias("key"), F.col(size).cast("long").alias("size"), F.col(source).isNotNull().cast("int").alias("has_source"), F.coalesce(F.col(source), F.lit("")).alias("source")
-    )
+        F.col(key).alias("key"), F.col(size).cast("long").alias("size"), F.col(source).isNotNull().cast("int").alias("has_source"), F.coalesce(F.col(source), F.lit("")).alias("source"),
+        *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)],
+    )
+    more = [f"carry_{i}" for i in range(len(carry))]
     h = _hash(F.col("key"), "order")
     d = d.withColumns({"h": h, "cls": size_class(F.col("size"))}).withColumn("salt", (F.col("h") % SALTS).cast("int"))
     d = written(d, "mix-sizes")
@@ -80,14 +82,15 @@ def mix_copies(docs: DataFrame, key: str = "doc_id", size: str = "size", source:
     in_class = Window.partitionBy(*src, "cls").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("s_before", F.coalesce(F.sum("n").over(in_class), F.lit(0))).join(classes, [*src, "cls"])
     cells = cells.select(*cell, (F.col("c_before") + F.col("s_before")).alias("before"), "source_size", "target")
-    d = d.withColumn("rank", F.row_number().over(Window.partitionBy(*cell).orderBy("h", "key", "size")))
+    d = d.withColumn("rank", F.row_number().over(Window.partitionBy(*cell).orderBy("h", "key", "size", *more)))
     d = d.join(cells, cell)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = _hash(F.concat(F.col("has_source").cast("string"), F.col("source")), "offset") / F.lit(float(1 << 28))
     last = F.floor((F.col("before") + F.col("rank")) * rate + offset)
     first = F.floor((F.col("before") + F.col("rank") - 1) * rate + offset)
     return d.select(
-        F.col("key").alias(key), F.when(F.col("has_source") == 1, F.col("source")).alias(source), "size", "source_size", "target", (last - first).cast("int").alias("copies")
+        F.col("key").alias(key), F.when(F.col("has_source") == 1, F.col("source")).alias(source), "size", "source_size", "target", (last - first).cast("int").alias("copies"),
+        *[F.col(m).alias(c) for m, c in zip(more, carry, strict=True)],
     )
 
 
