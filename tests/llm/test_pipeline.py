@@ -44,3 +44,41 @@ def test_lines_and_mix_keep_null_and_repeated_ids(spark):
     want = mixing.mix_copies(sizes).selectExpr("sum(copies)").first()[0]
     mixed = [tuple(r) for r in C.mix(spark, docs, DIR).collect()]
     assert len(mixed) == want and set(mixed) <= {tuple(r) for r in docs.collect()}
+
+
+def test_near_duplicates_by_brute_force(spark):
+    import random
+
+    import corpus_pipeline as C
+
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("aeiortn") for _ in range(5)) for _ in range(500)]
+    rows = []
+    for i in range(12):
+        base = [rnd.choice(words) for _ in range(rnd.randint(8, 200))]
+        rows.append((rnd.choice([None, i, i + 100, 5]), " ".join(base)))
+        for changes in (0, 1, 2, 3, 4, 6):
+            w = list(base)
+            for _ in range(changes):
+                w[rnd.randrange(len(w))] = rnd.choice(words)
+            rows.append((rnd.choice([None, i * 10, 5]), " ".join(w)))
+    rows += [(1, None), (2, ""), (None, " "), (3, "one two"), (4, "One  two"), rows[0], rows[0], rows[30], rows[30]]
+    docs = [(i, t, "en", None, len(t or "")) for i, t in rows]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = [tuple(r) for r in C.near_duplicates(spark, df, DIR).collect()]
+
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))})
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                x, y = group[a], group[b]
+                group = [y if g == x else g for g in group]
+    order = lambda i: (i is None, i or 0)
+    least = {g: min((rows[k][0] for k in range(len(rows)) if group[k] == g), key=order) for g in set(group)}
+    assert len(got) == len(least) and set(got) <= set(docs)
+    kept = {g: [r for r in got if any(group[k] == g and docs[k] == r for k in range(len(rows)))] for g in least}
+    assert all(len(v) == 1 and v[0][0] == least[g] for g, v in kept.items())
