@@ -282,6 +282,89 @@ def test_line_dedup_of_repeated_rows_and_null_ids(spark):
         assert sorted((r.lang, str(r.doc_id), r.text) for r in got) == sorted((n, str(i), want[i, t or ""]) for i, t, n in rows)
 
 
+def test_line_dedup_of_lines_about_the_threshold(spark):
+    """Large groups of lines whose similarity lies about 0.8, so that closest candidates often fail and records have many."""
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    lines = []
+    for _ in range(6):
+        base = rnd.sample(words, rnd.choice([9, 20, 36, 70, 240]))
+        for _ in range(60):
+            new = list(base)
+            for _ in range(rnd.randint(0, len(base) // 4)):
+                new[rnd.randrange(len(new))] = rnd.choice(words)
+            lines.append(" ".join(new).upper() if rnd.random() < 0.1 else " ".join(new))
+    rnd.shuffle(lines)
+    rows = [(i, "\n".join(lines[i * 3 : i * 3 + 3])) for i in range(len(lines) // 3)]
+    earlier, want = [], {}
+    for i, t in rows:
+        kept = []
+        for line in t.split("\n"):
+            w = frozenset(lower(line).split())
+            if not any(5 * len(w & x) >= 4 * len(w | x) for x in earlier):
+                kept.append(line)
+            earlier.append(w)
+        want[i] = "\n".join(kept)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), buckets=4).collect()
+    assert {r.doc_id: r.text for r in got} == want and 30 < sum(r.n_removed for r in got) < len(lines) - 30
+
+
+def test_candidates_are_all_that_pass():
+    rng = np.random.default_rng(5)
+    n = 400
+    rows = np.zeros(n, line_dedup.PREFIX)
+    rows["code"], rows["doc"], rows["line"] = rng.integers(0, 6, n), rng.integers(0, 90, n), rng.integers(0, 4, n)
+    rows["n"] = rng.integers(1, 40, n)
+    rows["pos"] = rng.integers(0, 3, n) % rows["n"]
+    rows["sig"] = np.uint64(1) << rng.integers(0, 12, n).astype(np.uint64)
+    rows, rest = line_dedup.by_code([(rows, np.zeros(0, np.uint64))])
+    want = collections.defaultdict(set)
+    for i in range(len(rows)):
+        for j in range(len(rows)):
+            a, b = rows[i], rows[j]
+            x, y = int(a["n"]), int(b["n"])
+            need = -(-4 * (x + y) // 9)
+            if a["code"] == b["code"] and b["rank"] < a["rank"] and 5 * min(x, y) >= 4 * max(x, y) and min(x - a["pos"], y - b["pos"]) >= need and bin(int(a["sig"]) ^ int(b["sig"])).count("1") <= x + y - 2 * need:
+                want[i].add(j)
+    have = collections.defaultdict(set)
+    for later, earlier, _ in line_dedup.passing(rows, rest):
+        for i, j in zip(later.tolist(), earlier.tolist()):
+            have[i].add(j)
+    assert have == want and len(want) > 50
+    later, earlier, more = line_dedup.closest(rows, rest)
+    assert set(later.tolist()) == set(want) and all(rows["rank"][j] in rows["rank"][list(want[i])] and m == (len(want[i]) > 1) for i, j, m in zip(later.tolist(), earlier.tolist(), more.tolist()))
+    asked = np.arange(len(rows)) % 2 == 0
+    later, earlier, whole = line_dedup.candidates(rows, rest, asked, most=3)
+    few = {i for i in want if asked[i] and len(want[i]) <= 3}
+    assert sorted(zip(later.tolist(), earlier.tolist())) == sorted((i, j) for i in few for j in want[i])
+    many = {i for i in want if asked[i] and len(want[i]) > 3}
+    assert many and many | {j for i in many for j in want[i]} == set(whole.tolist())
+
+
+def test_parity_maps_bound_the_distance_of_sets():
+    rng = np.random.default_rng(2)
+    sets = []
+    for n in (3, 40, 64, 65, 150, 230, 500, 900):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        sets += [base, np.concatenate([base[: n - n // 12], rng.integers(0, 2**63, n // 10, dtype=np.uint64)])]
+    sets = [np.unique(s) for s in sets]
+    n = np.array([len(s) for s in sets])
+    rows = np.zeros(len(sets), [*line_dedup.PREFIX, ("rest", "<i8")])
+    rows["n"] = n
+    rows["sig"], rest = line_dedup.parity_maps(n, np.concatenate(sets))
+    more = line_dedup.maps_of(n) - 1
+    rows["rest"] = np.cumsum(more) - more
+    assert more.tolist() == sorted(more.tolist()) and set(more.tolist()) == {0, 1, 3, 7}
+    maps = line_dedup.Maps(rows, rest)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            x, y = np.array([i]), np.array([j])
+            near, far = np.bitwise_count(maps.one[x] ^ maps.one[y]), len(np.setxor1d(a, b))
+            assert maps.far(x, y, near)[0] <= far and near[0] <= maps.far(x, y, near)[0]
+            if far == 0:
+                assert maps.far(x, y, near)[0] == 0
+
+
 def test_line_dedup_of_every_line(spark, tmp_path, docs, rows):
     short = [(100 + i, t, None, None, 0, 0.0, 0) for i, t in enumerate(["Menu\nAll rights reserved.\n\n", "all RIGHTS reserved.\nmenu home\n \na a b", "b a\nMenu Home x y\nmenu\n"])]
     spark.createDataFrame(rows + short, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")

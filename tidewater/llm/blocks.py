@@ -19,6 +19,7 @@ NONE = 2**63 - 1
 ROWS = "bucket int, kind int, block binary"
 #: Kinds of block, in the order in which a task must see them.
 SPANS, PENDING, RUNS, TEXTS, CUTS = range(5)
+TEXT_LEVEL = 3
 TEXT_HEAD = [("doc", "<i8"), ("h", "<u8"), ("size", "<i8")]
 
 
@@ -54,10 +55,11 @@ def as_before(a: np.ndarray, *names: str) -> np.ndarray:
     return out
 
 
-def pack(a: np.ndarray, extra: bytes = b"") -> bytes:
-    """Columns of a structured array, then further bytes, compressed."""
+def pack(a: np.ndarray, extra: bytes = b"", level: int = 1) -> bytes:
+    """Columns of a structured array, the first bytes of their values before the second ones and so on, then further bytes, compressed."""
     head = np.array([len(a), len(extra)], dtype="<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a[c]).tobytes() for c in a.dtype.names) + extra)
+    planes = [np.ascontiguousarray(a[c]).view(np.uint8).reshape(len(a), -1).T.tobytes() for c in a.dtype.names] if len(a) else []
+    return zstandard.ZstdCompressor(level=level).compress(head + b"".join(planes) + extra)
 
 
 def unpack(block: bytes, dtype: list) -> tuple[np.ndarray, bytes]:
@@ -66,7 +68,7 @@ def unpack(block: bytes, dtype: list) -> tuple[np.ndarray, bytes]:
     out, at = np.empty(n, dtype), 16
     for c, t in dtype:
         size = int(n) * np.dtype(t).itemsize
-        out[c] = np.frombuffer(raw, t, int(n), at)
+        out[c] = np.frombuffer(raw, np.uint8, size, at).reshape(-1, int(n)).T.copy().view(t)[:, 0] if n else 0
         at += size
     return out, raw[at : at + int(more)]
 
@@ -111,8 +113,21 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator
         yield bucket, ((k, x) for _, k, x in group)
 
 
+def spread(df: DataFrame, buckets: int) -> DataFrame:
+    return df.repartition(buckets, "bucket")
+
+
+def beside(*frames: DataFrame) -> DataFrame:
+    """Rows of frames that come from ``spread`` with the same buckets: a bucket's rows in one task, in order of kind, without another exchange (the
+    union of equally partitioned frames keeps their partitioning). A frame that several plans use is exchanged once."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out.sortWithinPartitions("bucket", "kind")
+
+
 def exchange(df: DataFrame, buckets: int) -> DataFrame:
-    return df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    return beside(spread(df, buckets))
 
 
 def texts_of(block: bytes) -> Iterator[tuple[tuple[int, int], bytes]]:
@@ -150,7 +165,7 @@ def text_blocks(buckets: int):
                     with pa.ipc.new_stream(sink, rest.schema) as out:
                         out.write_batch(rest.take(pa.array(i)))
                     more = sink.getvalue().to_pybytes()
-                rows.append((int(bucket), TEXTS, pack(every[i], b"".join(data[off[x] : off[x + 1]].tobytes() for x in i) + more)))
+                rows.append((int(bucket), TEXTS, pack(every[i], b"".join(data[off[x] : off[x + 1]].tobytes() for x in i) + more, TEXT_LEVEL)))
             yield rows_batch(rows)
 
     return run
