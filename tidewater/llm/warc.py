@@ -3,8 +3,8 @@
 A derivative refers to its response (WARC-Refers-To, with the response's target URI, date and payload digest kept), and carries a block digest of
 its own. Record ids are name-based UUIDs of the response's id, so a rerun gives the same bytes. Each record is made from one row; there is no shuffle.
 
-Nulls: a null url becomes ``urn:page:<id>``, null html an empty payload, a null id the word ``null``. Empty payloads give an empty text. Repeated rows give
-repeated records. Markup that never closes ends with the page.
+Nulls: a null url becomes ``urn:page:<id>``, null html an empty payload, a null id (or one that is no whole number) the word ``null``. Empty payloads give
+an empty text. Repeated rows give repeated records. An empty table gives no records. A page is read in time linear in its length, broken markup included.
 """
 
 from __future__ import annotations
@@ -26,12 +26,16 @@ from tidewater.llm.common import table
 
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:tidewater:warc")
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!doctype[^>]*>|<\?[^>]*>", re.I | re.S)
-_BREAK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|tr|table|h[1-6]|article|section|header|footer|nav|main|aside|blockquote|pre|form|option|body|html|head)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.I | re.S)
-_LINK = re.compile(r"""<(a|link|img|area|iframe)\b[^>]*?\b(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z-]+)""", re.I)
+#: Elements whose content is no text (a title goes to the metadata), and elements that break lines: fixed names of HTML.
+_RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "textarea", "title")}
+_BREAKS = set(
+    "p div br hr li ul ol dl dt dd tr table h1 h2 h3 h4 h5 h6 article section header footer nav main aside blockquote pre form option body html head".split()
+)
+_LINKS = {"a", "link", "img", "area", "iframe"}
+_NAME = re.compile(r"</?([a-zA-Z]\w*)")
+_REF = re.compile(r"""\b(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_LANG = re.compile(r"""\blang\s*=\s*["']?([A-Za-z-]+)""", re.I)
+_PLAIN = str.maketrans("\t\r\n\f", "    ")
 
 
 def digest(data: bytes) -> str:
@@ -70,12 +74,59 @@ def response(page_id, url: str | None, body: str | None) -> bytes:
     return record("response", rid, [("WARC-Date", DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", digest(payload)), ("Content-Type", "application/http; msgtype=response")], http + payload)
 
 
-def text_of(page: str) -> str:
-    """Visible text: scripts, styles, comments and markup go, block elements break lines, white space is collapsed."""
-    page = _HIDDEN.sub(" ", page)
-    page = html.unescape(_TAG.sub("", _BREAK.sub("\n", re.sub(r"[ \t\r\n\f]+", " ", page))))
-    lines = (" ".join(x.split()) for x in page.split("\n"))
-    return "\n".join(x for x in lines if x)
+def read_page(page: str) -> tuple[str, str | None, str | None, list[tuple[str, str, str]]]:
+    """(visible text, title, language, links (tag, attribute, reference)) of a page, in one pass from left to right.
+
+    Scripts, styles, comments and markup go, block elements break lines, white space is collapsed. Comments and raw elements that never
+    close end with the page. A "<" that begins no markup, or markup for which no ">" follows, is text. Every search goes on where the last one
+    ended, and a search that found nothing isn't made again, so the time is linear in the page.
+    """
+    out, title, lang, links = [], None, None, []
+    at, n, close = 0, len(page), -1
+    while at < n:
+        tag = page.find("<", at)
+        if tag < 0:
+            break
+        out.append(page[at:tag].translate(_PLAIN))
+        if page.startswith("<!--", tag):
+            end = page.find("-->", tag + 4)
+            out.append(" ")
+            at = n if end < 0 else end + 3
+            continue
+        name = _NAME.match(page, tag)
+        hidden = name is None and (page.startswith("<?", tag) or page[tag : tag + 9].lower() == "<!doctype")
+        if (name or hidden) and close < tag:
+            close = page.find(">", tag)
+            if close < 0:
+                close = n  # none follows
+        if not (name or hidden) or close == n:
+            out.append("<")
+            at = tag + 1
+            continue
+        at = close + 1
+        if hidden:
+            out.append(" ")
+            continue
+        kind, opens = name[1].lower(), page[tag + 1] != "/"
+        if opens and kind in _RAW:
+            end = _RAW[kind].search(page, at)
+            if kind == "title" and title is None:
+                title = " ".join(html.unescape(page[at : end.start() if end else n]).split())
+            out.append(" ")
+            at = end.end() if end else n
+            continue
+        if opens and kind in _LINKS:
+            ref = _REF.search(page, name.end(), close)
+            if ref:
+                links.append((kind, ref[1].lower(), html.unescape(ref[2] or ref[3] or ref[4] or "").strip()))
+        elif opens and kind == "html" and lang is None:
+            found = _LANG.search(page, name.end(), close)
+            lang = found[1] if found else None
+        if kind in _BREAKS:
+            out.append("\n")
+    out.append(page[at:].translate(_PLAIN))
+    lines = (" ".join(x.split()) for x in html.unescape("".join(out)).split("\n"))
+    return "\n".join(x for x in lines if x), title, lang, links
 
 
 def derive(warc: bytes) -> Iterator[tuple[str, str, bytes]]:
@@ -93,22 +144,21 @@ def derive(warc: bytes) -> Iterator[tuple[str, str, bytes]]:
         except LookupError:
             page = payload.decode("utf-8", "replace")
         target, source = h.get("warc-target-uri", ""), h["warc-record-id"]
-        title, lang = _TITLE.search(page), _LANG.search(page)
+        text, title, lang, links = read_page(page)
         found = []
-        for tag, attr, a, b, c in _LINK.findall(page):
-            ref = html.unescape(a or b or c).strip()
+        for tag, attr, ref in links:
             try:
-                found.append({"path": f"{tag.upper()}@/{attr.lower()}", "url": urljoin(target, ref)})
+                found.append({"path": f"{tag.upper()}@/{attr}", "url": urljoin(target, ref)})
             except ValueError:
-                found.append({"path": f"{tag.upper()}@/{attr.lower()}", "url": ref})
+                found.append({"path": f"{tag.upper()}@/{attr}", "url": ref})
         body = {
             "envelope": {"warc-headers": [list(x) for x in headers[1:]], "format": headers[0][1], "actual-content-length": len(block), "block-digest": digest(block)},
             "http": {"status": status, "headers": http, "payload-length": len(payload), "payload-digest": digest(payload)},
-            "html": {"title": " ".join(html.unescape(title[1]).split()) if title else None, "lang": lang[1] if lang else None, "links": found},
+            "html": {"title": title, "lang": lang, "links": found},
         }
         linked = [("WARC-Date", h.get("warc-date", DATE)), ("WARC-Target-URI", target), ("WARC-Refers-To", source)]
         linked += [("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", h.get("warc-date", DATE)), ("WARC-Source-Payload-Digest", h.get("warc-payload-digest", digest(payload)))]
-        for kind, kind_type, out in (("metadata", "application/json", json.dumps(body, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace")), ("conversion", "text/plain; charset=utf-8", text_of(page).encode("utf-8", "replace"))):
+        for kind, kind_type, out in (("metadata", "application/json", json.dumps(body, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace")), ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace"))):
             rid = f"<urn:uuid:{uuid.uuid5(_SPACE, f'{kind} {source}')}>"
             yield kind, rid, record(kind, rid, [*linked, ("Content-Type", kind_type)], out)
 
@@ -124,7 +174,7 @@ def derivatives(pages: DataFrame, key: str = "page_id", url: str = "url", body:
             for lo in range(0, b.num_rows, 256):
                 yield pa.RecordBatch.from_pylist(list(_rows(b.slice(lo, 256))), schema=_SCHEMA)
 
-    return pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(body).alias("html")).mapInArrow(run, DERIVED)
+    return pages.select(F.col(key).try_cast("long").alias("page_id"), F.col(url).alias("url"), F.col(body).alias("html")).mapInArrow(run, DERIVED)
 
 
 _SCHEMA = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in DERIVED.split(", "))])
