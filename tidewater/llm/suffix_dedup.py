@@ -9,10 +9,9 @@ bytes, document, place.
 2. *by anchor*: equal runs are settled likewise, so copies, however many, leave one run each. Where an anchor has
    several different runs, these are pending: their windows may be equal in part.
 3. *by document*: the bytes of pending runs are cut from the texts.
-4. *by anchor*: all windows of the pending runs are sorted to a depth of WIDTH bytes by bucket-pointer refinement: buckets by the first
-   8 bytes, then again and again the members of each bucket that isn't a single one are split by the bucket of what stands at an offset,
-   where buckets that are already refined are used as they are now, so the depth doubles. Windows in one bucket at depth WIDTH are
-   equal; all but the earliest are removed.
+4. *by anchor*: all places of the pending runs are sorted to a depth of WIDTH bytes by bucket-pointer refinement (``refine``): buckets by the first
+   8 bytes, each then sorted by the buckets of places further on, which buckets refined later use as they are by then. Of equal windows all but
+   the earliest are removed.
 5. *by document*: removed windows are joined to spans.
 
 Records travel as compressed blocks of columns, dealt over buckets by hash. Texts travel twice, compressed; a bucket's size is set by ``buckets``.
@@ -40,6 +39,8 @@ Q = 16
 CHUNK = 1 << 22
 HELD = 1 << 20
 CUT_BYTES = 1 << 25
+Q0 = 8
+STEP = 1 << 16
 RUN = [("anchor", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("h", "<u8"), ("lo", "<i8"), ("n", "<u4")]
 SPAN = [("doc", "<i8"), ("h", "<u8"), ("lo", "<i8"), ("n", "<u4")]
 PEND = [("anchor", "<u8"), ("doc", "<i8"), ("h", "<u8"), ("lo", "<i8"), ("n", "<u4")]
@@ -95,47 +96,72 @@ def _as(a: np.ndarray, dtype: list) -> np.ndarray:
     return out
 
 
-def refine(data: np.ndarray, base: np.ndarray, n: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """(window's text, its offset there; bucket) for windows that share their bucket at depth ``width`` with another.
+def refine(data: np.ndarray, base: np.ndarray, n: np.ndarray, width: int = WIDTH, step: int = STEP, seen: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(window's text, its offset there; class) for windows that are equal to another one; equal windows have one class.
 
     data[base[j] : base[j] + n[j] + width - 1] holds text j, whose windows start at its first n[j] places.
+
+    Bucket-pointer refinement. All places of data are put into buckets by their first Q0 bytes, in order. A bucket whose members agree in their first d bytes
+    is sorted by the bucket of the place d bytes on, and members get the new buckets' numbers at once: a bucket that is refined later points at those,
+    and its members then agree in d bytes and as many as the members of the bucket pointed at do. What isn't told apart by then is refined again right
+    away, until a bucket has one window or its members agree in ``width`` bytes. Buckets are taken in order, up to ``step`` members at a time.
+    Order is by bytes, so equal windows stand side by side in the end. ``seen`` gets how many pointers led to buckets refined before.
     """
-    size = n + width - 1
-    text = np.repeat(np.arange(len(n)), size)
-    place = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
-    at = base[text] + place
-    bucket = np.full(len(data), -1, np.int64)
-    single = np.zeros(len(data), bool)
-    e = eights(np.concatenate([data, np.zeros(8, np.uint8)]))
-
-    def split(which: np.ndarray, by: np.ndarray, new: int) -> int:
-        """Gives the places ``which`` new buckets by value."""
-        order = np.argsort(by, kind="stable")
-        by = by[order]
-        edge = np.concatenate([[True], by[1:] != by[:-1]])
-        rank = np.cumsum(edge) - 1
-        bucket[which[order]] = new + rank
-        single[which[order]] = np.bincount(rank)[rank] == 1
-        return new + int(rank[-1]) + 1 if len(rank) else new
-
-    new, depth = 0, 8
-    alive = place <= size[text] - depth
-    if not len(text):
+    total = len(data)
+    if total < width or not len(n):
         return np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
-    new = split(at[alive], e[at[alive]], new)
-    while depth < width:
-        step = min(depth, width - depth)
-        ok = place <= size[text] - depth - step
-        ok[ok] &= ~single[at[ok]]
-        text, place, at = text[ok], place[ok], at[ok]
-        if not len(at):
-            break
-        ids = bucket[np.concatenate([at, at + step])]
-        ids = np.unique(ids, return_inverse=True)[1].astype(np.uint64)  # dense, so that two fit in one number
-        new = split(at, (ids[: len(at)] << np.uint64(32)) | ids[len(at) :], new)
-        depth += step
-    ok = ~single[at] if len(at) else np.zeros(0, bool)
-    return np.array([text[ok], place[ok]]), bucket[at[ok]]
+    e = eights(np.concatenate([data, np.zeros(width + 8, np.uint8)])).byteswap()  # in order of bytes
+    text = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    window = np.zeros(total, bool)
+    window[base[text] + place] = True
+    order = np.argsort(e[:total], kind="stable")
+    fresh = np.concatenate([[True], e[order[1:]] != e[order[:-1]]])
+    start = np.flatnonzero(fresh)
+    size = np.diff(np.append(start, total))
+    bucket = np.full(total + width, -1, np.int64)  # by place: where its bucket begins in ``order``
+    bucket[order] = np.repeat(start, size)
+    depth = np.full(total + 1, width, np.int32)  # by bucket's begin; the last one is for places past the end, which differ from all others
+    depth[start] = Q0
+    windows = np.add.reduceat(window[order].astype(np.int32), start)
+    todo = (windows > 1) & (depth[start] < width)
+    start, size = start[todo], size[todo]
+    cum = np.concatenate([[0], np.cumsum(size)])
+    i = used = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(cum, cum[i] + step, side="right")) - 1)
+        s, c = start[i:j], size[i:j]
+        while len(s):
+            which = np.repeat(np.arange(len(s)), c)
+            at = np.arange(len(which)) - np.repeat(np.cumsum(c) - c, c) + s[which]
+            p, d = order[at], depth[s]
+            to = bucket[p + d[which]]
+            used += int((depth[to] > Q0).sum())
+            by = np.argsort((which << 34) | (to + 1), kind="stable")
+            p, to = p[by], to[by]
+            first = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (to[1:] != to[:-1])]))
+            deeper = np.minimum(d[which[first]] + depth[to[first]], width)  # before numbers change
+            c = np.diff(np.append(first, len(p)))
+            s = at[first]
+            order[at] = p
+            bucket[p] = np.repeat(s, c)
+            depth[s] = deeper
+            again = (deeper < width) & (np.add.reduceat(window[p].astype(np.int32), first) > 1)
+            s, c = s[again], c[again]
+        i = j
+    if seen is not None:
+        seen["reused"] = used
+    of = np.full(total, -1, np.int64)
+    of[base[text] + place] = np.arange(len(text))
+    p = order[window[order]]
+    same = np.flatnonzero(e[p[1:]] == e[p[:-1]])
+    for k in [*range(8, width - 8, 8), width - 8]:
+        same = same[e[p[same + 1] + k] == e[p[same] + k]]
+    equal = np.zeros(len(p) + 1, bool)
+    equal[same + 1] = True  # to the one before
+    mine = equal[:-1] | equal[1:]
+    w = of[p[mine]]
+    return np.array([text[w], place[w]]), np.cumsum(~equal[:-1])[mine]
 
 
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, buckets: int | None = None) -> tuple[DataFrame, DataFrame, int]:
