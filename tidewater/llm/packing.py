@@ -1,24 +1,25 @@
 """Vector bin packing of token sequences.
 
-An example has a size in each of three dimensions: tokens, segments (1), loss-bearing tokens. A sequence holds at most
-``LIMITS`` of each. Full-length runs of a long example become sequences of their own; what is left over of each example is packed
-with the dot-product rule: of the examples that fit, the open sequence takes the one whose size vector has the largest dot product with what is
-left in it (both in shares of the limits). When none fits and examples may be cut, the best one is cut to what is left, so a sequence
-closes only when full. The last sequence of a group is cut at powers of two, which need no padding.
+An example has a size in each of three dimensions: tokens, segments (1), loss-bearing tokens. Its first tokens (the prompt) bear no loss, the others do. A
+sequence holds at most ``LIMITS`` of each. The dot-product rule fills it: of the examples that fit, the open sequence takes the one whose size vector has the
+largest dot product with what is left in it (both in shares of the limits). When none fits and examples may be cut, the one of which most fits is cut there.
+Examples over the limits come first: each of their pieces opens a sequence. Where a limit on segments or loss ends a sequence before it is full, or
+no example is left, it is cut at powers of two, which need no padding.
 
-Sizes are held in a table by (tokens, loss-bearing tokens), so a choice looks at distinct sizes, not at examples.
+In documents the first line is the prompt (a text without a line break has none), and of TOKENS at most LOSS bear loss.
 
 Groups are the examples of one input partition in their order, GROUP examples each: no shuffle, bounded memory, and a lost
 task gives the same pieces again. A sequence id is partition * 2^40 + its number there.
 
-Nulls: a null text is empty and has only its end id. Equal rows are examples of their own. An empty table gives no rows.
+Nulls: a null text is empty and has only its end id. Equal rows are examples of their own. An empty table gives no rows. Columns besides doc_id and text are
+ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-from collections import defaultdict, deque
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import table
 
 TOKENS = 2048
-SEGMENTS = 256
-LIMITS = (TOKENS, SEGMENTS, TOKENS)
+SEGMENTS = 16
+LOSS = 1984
+LIMITS = (TOKENS, SEGMENTS, LOSS)
 GROUP = 2000
 END = 1
 CACHE = 400_000
@@ -57,6 +59,20 @@ class Encoder:
             table_ = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.part = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_, special_tokens={})
         self.known: dict[str, bytes] = {}
+        special = {t.content.encode(): i for i, t in self.whole.get_added_tokens_decoder().items()}
+        self.bytes_of = np.zeros(1 + max(max(table_.values()), *special.values(), END), np.int64)
+        for x, i in (table_ | special).items():
+            self.bytes_of[i] = len(x)
+
+    def prompt(self, text: str, ids: bytes) -> int:
+        """How many of the ids begin in the first line or its break; 0 for a text without a break."""
+        at = text.find("\n")
+        if at < 0:
+            return 0
+        end = len(text[: at + 1].encode())
+        head = np.frombuffer(ids, "<u4", min(len(ids) // 4, end))  # an id has a byte at least
+        size = self.bytes_of[head]
+        return int(np.searchsorted(np.cumsum(size) - size, end))
 
     def _new(self, piece: str) -> bytes:
         if len(self.known) >= CACHE:
@@ -84,73 +100,68 @@ class Packer:
 
     def __init__(self, limits: tuple[int, int, int] = LIMITS, cut: bool = True):
         self.limits, self.cut = limits, cut
-        self.sizes: dict[tuple[int, int], deque] = defaultdict(deque)
-        self.done: list[list[tuple]] = []
+        self.examples: list[tuple[object, int, int]] = []
 
     def add(self, key, tokens: int, loss: int | None = None) -> None:
         """An example whose first tokens - loss tokens bear no loss (a prompt), all others do."""
-        loss, start = tokens if loss is None else loss, 0
-        most, _, most_loss = self.limits
-        while self.cut and (tokens - start > most or self._loss(tokens, loss, start, tokens) > most_loss):
-            end = start + most
-            while self._loss(tokens, loss, start, end) > most_loss:
-                end -= self._loss(tokens, loss, start, end) - most_loss
-            self.done.append([(key, start, end - start)])
-            start = end
-        if tokens - start > most or self._loss(tokens, loss, start, tokens) > most_loss:
+        loss = tokens if loss is None else loss
+        if not self.cut and (tokens > self.limits[0] or loss > self.limits[2]):
             raise ValueError(f"an example of {tokens} tokens, {loss} with loss, is over the limits {self.limits} and may not be cut")
-        if tokens > start:
-            self.sizes[(tokens - start, self._loss(tokens, loss, start, tokens))].append((key, start))
-
-    @staticmethod
-    def _loss(tokens: int, loss: int, start: int, end: int) -> int:
-        return max(0, end - max(start, tokens - loss))
+        if tokens:
+            self.examples.append((key, tokens, loss))
 
     def pieces(self) -> list[list[tuple]]:
         """Sequences, each a list of (key, start, length)."""
         most, segments, most_loss = self.limits
-        keys = np.array(sorted(self.sizes), dtype=np.int64).reshape(-1, 2)
-        count = np.array([len(self.sizes[tuple(k)]) for k in keys.tolist()], dtype=np.int64)
-        share = np.column_stack([keys[:, 0] / most, np.full(len(keys), 1 / segments), keys[:, 1] / most_loss])
-        while count.any():
+        done: list[list[tuple]] = []
+        key = [k for k, _, _ in self.examples]
+        size = np.array([t for _, t, _ in self.examples], np.int64)  # what is left of each example
+        loss = np.array([x for _, _, x in self.examples], np.int64)
+        start = np.zeros(len(size), np.int64)
+        long = deque(np.flatnonzero((size > most) | (loss > most_loss)).tolist())
+        rows = np.arange(len(size))
+        while True:
             left, n, left_loss, out = most, segments, most_loss, []
+
+            def take(i: int, tokens: int) -> int:
+                """Gives the first tokens of example i to the open sequence; returns how many of them bear loss."""
+                with_loss = max(0, tokens - int(size[i] - loss[i]))
+                out.append((key[i], int(start[i]), tokens))  # noqa: B023
+                start[i] += tokens
+                size[i] -= tokens
+                loss[i] -= with_loss
+                return with_loss
+
+            while long and size[long[0]] <= most and loss[long[0]] <= most_loss:
+                long.popleft()  # what is left of it is an example like others
+            rows = rows[size[rows] > 0] if len(rows) else rows
+            if not len(rows):
+                break
+            if long:
+                i = long[0]
+                tokens = min(most, int(size[i] - loss[i]) + most_loss)
+                left, n, left_loss = left - tokens, n - 1, left_loss - take(i, tokens)
             while left and n:
-                alive = count > 0
-                fits = alive & (keys[:, 0] <= left) & (keys[:, 1] <= left_loss)
+                t, x = size[rows], loss[rows]
+                fits = (t > 0) & (t <= left) & (x <= left_loss)
                 if fits.any():
-                    dot = share @ np.array([left / most, n / segments, left_loss / most_loss])
-                    i = int(np.argmax(np.where(fits, dot, -1.0)))
-                    (tokens, loss), (key, start) = keys[i].tolist(), self.sizes[tuple(keys[i].tolist())].pop()
-                    count[i] -= 1
-                    out.append((key, start, tokens))
-                    left, n, left_loss = left - tokens, n - 1, left_loss - loss
-                    continue
-                # The smallest that is too long, all of whose tokens bear loss or none: what is cut off stays an example of that kind.
-                may = np.flatnonzero(alive & (keys[:, 0] > left) & ((keys[:, 1] == 0) | (keys[:, 1] == keys[:, 0])))
-                room = [min(left, left_loss) if keys[i, 1] else left for i in may]
-                if not self.cut or not len(may) or not max(room):
-                    break
-                i = int(may[int(np.argmax(room))])
-                take = min(left, left_loss) if keys[i, 1] else left
-                tokens, loss = keys[i].tolist()
-                key, start = self.sizes[(tokens, loss)].pop()
-                count[i] -= 1
-                out.append((key, start, take))
-                left, n, left_loss = left - take, n - 1, left_loss - (take if loss else 0)
-                rest = (tokens - take, tokens - take if loss else 0)
-                self.sizes[rest].append((key, start + take))
-                at = np.flatnonzero((keys == rest).all(axis=1))
-                if len(at):
-                    count[at[0]] += 1
+                    dot = t * (left / most / most) + n / segments / segments + x * (left_loss / most_loss / most_loss)
+                    i = int(rows[np.argmax(np.where(fits, dot, -1.0))])
+                    tokens = int(size[i])
+                elif self.cut:
+                    room = np.minimum(t, np.minimum(left, t - x + left_loss))
+                    i = int(rows[np.argmax(room)])
+                    tokens = int(room.max())
+                    if not tokens:
+                        break
                 else:
-                    keys, count = np.vstack([keys, rest]), np.append(count, 1)
-                    share = np.vstack([share, [rest[0] / most, 1 / segments, rest[1] / most_loss]])
-            self.done.append(out)
-        if self.cut and self.done:
-            self.done[-1:] = self._powers(self.done[-1])
-        return self.done
-
-    def _powers(self, pieces: list[tuple]) -> list[list[tuple]]:
+                    break
+                left, n, left_loss = left - tokens, n - 1, left_loss - take(i, tokens)
+            done += self._powers(out) if self.cut and left else [out]
+        return done
+
+    @staticmethod
+    def _powers(pieces: list[tuple]) -> list[list[tuple]]:
         """A short sequence, cut into ones whose lengths are powers of two."""
         out, rest = [], deque(pieces)
         total = sum(p[2] for p in pieces)
@@ -173,14 +184,14 @@ PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 
 
 def pack_texts(docs: DataFrame, limits: tuple[int, int, int] = LIMITS, cut: bool = True, vocabulary: str | None = None, ranks: str | None = None, group: int = GROUP) -> DataFrame:
-    """(doc_id, text) -> one row a piece with its ids (little-endian 32-bit). Every token of a document bears loss."""
+    """(doc_id, text) -> one row a piece with its ids (little-endian 32-bit). The tokens of a document's first line bear no loss."""
 
     def emit(rows: list[tuple], packed: Iterable, base: int) -> pa.RecordBatch:
         cols: list[list] = [[] for _ in range(7)]
         for s, pieces in enumerate(packed):
             offset = 0
             for key, start, length in pieces:
-                doc, ids = rows[key]
+                doc, ids, _ = rows[key]
                 for c, v in zip(cols, (doc, start, length, len(ids) // 4, base + s, offset, ids[4 * start : 4 * (start + length)]), strict=True):
                     c.append(v)
                 offset += length
@@ -193,14 +204,16 @@ def pack_texts(docs: DataFrame, limits: tuple[int, int, int] = LIMITS, cut: bool
 
         def closed() -> tuple[pa.RecordBatch, int]:
             packer = Packer(limits, cut)
-            for k, (_, ids) in enumerate(rows):
-                packer.add(k, len(ids) // 4)
+            for k, (_, ids, prompt) in enumerate(rows):
+                packer.add(k, len(ids) // 4, len(ids) // 4 - prompt)
             packed = packer.pieces()
             return emit(rows, packed, base), len(packed)
 
         for b in batches:
             for doc, text in zip(b.column(0), b.column(1), strict=True):
-                rows.append((doc.as_py(), encoder.ids(text.as_py() or "") + end))
+                t = text.as_py() or ""
+                ids = encoder.ids(t)
+                rows.append((doc.as_py(), ids + end, encoder.prompt(t, ids)))
                 size += len(rows[-1][1])
                 if len(rows) >= group or size >= 1 << 25:
                     out, n = closed()
