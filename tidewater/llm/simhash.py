@@ -8,11 +8,12 @@ halves: of a, b | c, d at most one of a, b differs, and with it at most one of c
 and on one of ab, ac, ad, bc, bd: 25 keys a fingerprint (5 starts, 5 choices), each of about 26 bits. Pairs under a key then pass the chain's budgets
 segment by segment, and those that remain the full Hamming check.
 
-Equal fingerprints are collapsed first, so copies never meet as pairs. Under a key with many fingerprints no pair is emitted
-but the links of a spanning forest: a breadth-first search against those not reached yet, which shrink quickly in a group of near copies.
+Equal fingerprints are collapsed first, so copies never meet as pairs. Under a key no pair is emitted
+but the links of a spanning forest: a search against those not reached yet, which shrink quickly in a group of near copies.
 
 Nulls: a null text is empty: fingerprint zero, linked like any other. Rows with a null doc_id take part and get null where no
-other id is reachable. Repeated rows are copies. An empty table gives no rows.
+other id is reachable; within the search such a row stands as 2^63 - 1, as a true id of that value would. Repeated rows are copies. An empty table gives no
+rows. Columns besides the key and the text are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +44,11 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[:-1].tolist()]
     ends = (ends - 1).tolist()
-    hashes = [h(flat[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :], strict=False)] if len(words) >= shingle else [h(flat, 42)]
+    return bits_of([h(flat[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :], strict=False)] if len(words) >= shingle else [h(flat, 42)])
+
+
+def bits_of(hashes: list[int] | np.ndarray) -> int:
+    """The fingerprint: a bit is set if over half of the hashes have it."""
     bits = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         block = np.array(hashes[i : i + (1 << 16)], dtype=np.uint64).astype(">u8")
@@ -96,40 +101,43 @@ def passes(x: np.ndarray, y: np.ndarray, start: np.ndarray | int) -> np.ndarray:
     return ok & (np.bitwise_count(d) <= DISTANCE)
 
 
-SMALL = 8
+def chain(d: np.ndarray, start: int) -> np.ndarray:
+    """Which of some differences keep the budgets of the chain from segment ``start``, segment by segment, and then the whole its own."""
+    at, total = np.arange(len(d)), np.zeros(len(d), np.int64)
+    for k in range(5):
+        total = total + np.bitwise_count(_part(d[at], *SEGMENTS[(start + k) % 5]))
+        ok = total <= (k + 1) * DISTANCE // 5
+        at, total = at[ok], total[ok]
+    return at[np.bitwise_count(d[at]) <= DISTANCE]
 
 
 def links(keys: np.ndarray, fp: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Node pairs that link under the same key, or for keys with over SMALL fingerprints a spanning forest of them. ``keys`` is sorted."""
+    """A spanning forest of the node pairs that link under the same key. ``keys`` is sorted.
+
+    Pairs of neighbours in the order of keys are tested all at once. Where a key has more than two fingerprints, each is then searched
+    for among those not reached yet, which shrink quickly in a group of near copies.
+    """
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     size = np.diff(np.append(edge, len(keys)))
     start = (keys >> np.uint64(39)).astype(np.int64) // 5
-    run = np.repeat(np.arange(len(edge)), size)
-    a, b = [], []
-    few = (size <= SMALL)[run]
-    for step in range(1, SMALL):
-        i = np.flatnonzero(few[:-step] & (run[:-step] == run[step:])) if len(run) > step else np.zeros(0, np.int64)
-        if not len(i):
-            break
-        i = i[passes(fp[i], fp[i + step], start[i])]
-        a.append(node[i])
-        b.append(node[i + step])
-    for r in np.flatnonzero(size > SMALL):
+    two = edge[size == 2]
+    two = two[passes(fp[two], fp[two + 1], start[two])] if len(two) else two
+    a, b = [node[two]], [node[two + 1]]
+    for r in np.flatnonzero(size > 2):
         lo, n = edge[r], size[r]
         rest, frontier = np.arange(lo, lo + n), []
         while len(rest):
             if not frontier:
                 frontier, rest = [rest[0]], rest[1:]
             x = frontier.pop()
-            hit = np.bitwise_count(fp[rest] ^ fp[x]) <= DISTANCE
-            found = rest[hit]
-            if len(found):
-                rest = rest[~hit]
+            hit = chain(fp[rest] ^ fp[x], int(start[lo]))
+            if len(hit):
+                found = rest[hit]
+                rest = np.delete(rest, hit)
                 frontier.extend(found)
                 a.append(np.full(len(found), node[x]))
                 b.append(node[found])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
+    return np.concatenate(a), np.concatenate(b)
 
 
 def link_pairs(distinct: DataFrame) -> DataFrame:
