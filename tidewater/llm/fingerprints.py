@@ -1,15 +1,22 @@
 """Document fingerprints from closed syncmers.
 
 A k-mer of code points is a closed syncmer if the least of its inner s-mers (by hash) stands at its first or last
-place. Whether it is one depends on the k-mer alone, so equal passages give equal anchors wherever they stand. ``anchors`` gives
-places and hashes for positional matching; a fingerprint keeps the KEEP least distinct hashes (all, if there are fewer), 8 hex digits each, in
-order. The likeness of two fingerprints is the Jaccard estimate of bottom-k sketches: of the KEEP least of their union, the share in both.
+place. Whether it is one depends on the k-mer alone, so equal passages give equal anchors wherever they stand.
 
-A text shorter than k has one anchor, the hash of the whole text; an empty text has an empty fingerprint, like only to another empty one.
+A fingerprint holds anchors with their places: of each distinct hash the first place, 8 hex digits of the hash, then 8 of the place, in order of hashes. It keeps all
+hashes of the lowest 1 / SHARE of their range, and the KEEP least in any case (all, if there are fewer), so it grows with the text and a shared
+passage of a long text leaves its part. The likeness of two fingerprints is taken below the hash up to which both are complete: the matched
+anchors over all anchors there. Matching is positional: of the hashes in both, as many as stand in one order in both texts (the longest such chain).
+So passages that changed places count once at most.
+
+A text shorter than k has one anchor, the hash of the whole text; an empty text has an empty fingerprint, like only to another empty one. A null text is
+empty; a null doc_id comes last; rows with equal doc_id stand in order of their texts, and repeated rows follow one another. An empty table gives no rows;
+columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -24,6 +31,7 @@ from tidewater.llm.common import default_parts, table
 K = 16
 S = 6
 KEEP = 64
+SHARE = 32
 _U = np.uint64
 
 
@@ -63,19 +71,41 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     return at, (h >> _U(32)).astype(np.uint32)
 
 
-def sketch(text: str, keep: int = KEEP) -> np.ndarray:
-    return np.unique(anchors(text)[1])[:keep]
+def sketch(text: str, keep: int = KEEP, share: int = SHARE) -> np.ndarray:
+    """(hash, place) of the anchors that the fingerprint holds, two rows."""
+    at, h = anchors(text)
+    h, first = np.unique(h, return_index=True)
+    n = max(keep, int(np.searchsorted(h, (1 << 32) // share)))
+    return np.stack([h[:n].astype(np.int64), at[first[:n]]])
 
 
 def as_hex(fp: np.ndarray) -> str:
-    return fp.astype(">u4").tobytes().hex()
+    return fp.T.astype(">u4").tobytes().hex()
+
+
+def complete_to(fp: np.ndarray, keep: int = KEEP, share: int = SHARE) -> int:
+    """The fingerprint holds all anchors of its text with hashes below this."""
+    n = fp.shape[1]
+    return 1 << 32 if n < keep else max((1 << 32) // share, int(fp[0, -1]) + 1)
+
+
+def longest_chain(x: np.ndarray) -> int:
+    """Length of the longest rising subsequence."""
+    tails: list[int] = []
+    for v in x.tolist():
+        k = bisect.bisect_left(tails, v)
+        tails[k : k + 1] = [v]
+    return len(tails)
 
 
-def likeness(a: np.ndarray, b: np.ndarray, keep: int = KEEP) -> float:
-    if not len(a) or not len(b):
-        return 1.0 if len(a) == len(b) else 0.0
-    union = np.union1d(a, b)[:keep]
-    return float(np.isin(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum() / len(union))
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    if not a.shape[1] or not b.shape[1]:
+        return 1.0 if a.shape[1] == b.shape[1] else 0.0
+    top = min(complete_to(a), complete_to(b))
+    a, b = a[:, a[0] < top], b[:, b[0] < top]
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    every = a.shape[1] + b.shape[1] - len(i)
+    return longest_chain(b[1][j[np.argsort(a[1][i])]]) / every if every else 0.0
 
 
 def edited(text: str, following: str) -> str:
