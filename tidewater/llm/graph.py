@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import written
+from tidewater.llm.common import discard, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -25,7 +25,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         large = large.distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        e, old = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges"), e
+        discard(old)
         now = _digest(e)
         if now == before:
             break
