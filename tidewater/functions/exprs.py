@@ -62,6 +62,11 @@ def bucket(key: Column, width: int) -> Column:
     return F.call_function("div", key, F.lit(width).cast("long"))
 
 
+def bucket_number(key: int, width: int) -> int:
+    """``bucket`` of one key."""
+    return key // width if key >= 0 else -(-key // width)
+
+
 def bucket_low(i: int, width: int) -> int:
     """Least key of bucket i; bucket 0 holds keys of both signs."""
     return i * width if i > 0 else -(width - 1) if i == 0 else i * width - (width - 1)

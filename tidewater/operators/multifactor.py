@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from tidewater.operators.windows import Frame, Pass
 
 FLOOR = 1e-12
 
@@ -53,31 +57,41 @@ def fit_windows(y: np.ndarray, x: np.ndarray, rows: int) -> tuple[np.ndarray, np
     return coef, r2
 
 
+class _Fit(Pass):
+    """Fits over frames of ``rows`` rows, streamed."""
+
+    def __init__(self, y: int, xs: list[int], parts: list[int], rows: int):
+        super().__init__([], parts, 0, Frame("rows", rows - 1))
+        self.y, self.xs, self.rows = y, xs, rows
+
+    def compute(self, t: pa.Table, begin: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        lo, to = self.done, self.done + len(begin)
+        y = t.column(self.y).to_numpy().astype(float)
+        x = np.column_stack([t.column(c).to_numpy().astype(float) for c in self.xs])
+        out = np.full((len(begin), len(self.xs) + 2), np.nan)
+        edge = np.unique(begin).tolist()
+        for i, j in itertools.pairwise([*edge, to]):
+            at = max(i, lo)
+            coef, r2 = fit_windows(y[i:j], x[i:j], self.rows)
+            out[at - lo : j - lo] = np.column_stack([coef, r2])[at - i :]
+        return [out]
+
+
 def rolling_fit(df: DataFrame, y: str, factors: list[str], rows: int, partition: list[str], order: list[str], prefix: str = "fit", overlap: int = 0) -> DataFrame:
     """Adds prefix_intercept, prefix_<factor> and prefix_r2. Rows of a partition are streamed in order; only the last rows - 1 are carried from batch to batch,
     so a partition of any length fits in memory. A null or NaN argument gives null for the windows that hold it."""
     names = [f"{prefix}_intercept", *[f"{prefix}_{f}" for f in factors], f"{prefix}_r2"]
-    schema = type(df.schema)(list(df.schema.fields))
-    for n in names:
-        schema = schema.add(n, "double")
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+    at = {c: i for i, c in enumerate(df.columns)}
+    y_at, x_at, part_at, columns = at[y], [at[f] for f in factors], [at[p] for p in partition], df.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail, last = None, None
-        for batch in batches:
-            keys = batch[partition].apply(tuple, axis=1) if partition else pd.Series([()] * len(batch), index=batch.index)
-            out = []
-            for key, part in batch.groupby((keys != keys.shift()).cumsum(), sort=False):
-                k = keys.loc[part.index[0]]
-                before = tail if tail is not None and k == last else part.iloc[:0]
-                both = pd.concat([before, part])[[y, *factors]].astype(float)
-                coef, r2 = fit_windows(both[y].to_numpy(), both[factors].to_numpy(), rows)
-                part = part.copy()
-                part[names] = np.column_stack([coef, r2])[len(before) :]
-                part[names] = part[names].astype(object).where(part[names].notna(), None)
-                out.append(part)
-                tail, last = pd.concat([before, part[batch.columns]]).iloc[-(rows - 1) :] if rows > 1 else part.iloc[:0], k
-            if out:
-                yield pd.concat(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = _Fit(y_at, x_at, part_at, rows)
+        for t in itertools.chain((pa.Table.from_batches([b]) for b in batches), [None]):
+            got = one.add(t)
+            if got is not None and len(got[0]):
+                made = [pa.array(c, mask=np.isnan(c)) for c in got[1][0].T]
+                yield from pa.table([*got[0].columns, *made], [*columns, *names]).combine_chunks().to_batches()
 
-    parts = df.repartition(*partition) if partition else df.repartition(1)
-    return parts.sortWithinPartitions(*partition, *order).mapInPandas(run, schema)
+    parts = df.repartition(*partition) if partition else df.coalesce(1)
+    return parts.sortWithinPartitions(*partition, *order).mapInArrow(run, schema)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import types as T
 
 from tidewater.functions import exprs as X
 from tidewater.operators.joins import asof_join, star_join
-from tidewater.operators.windows import STATS, Frame, spec, window_stats
+from tidewater.operators.windows import STATS, Frame, over_all, spec, window_kernel, window_stats
 from tidewater.plans.parse import AGGREGATES, Bin, Call, Case, Cmp, Col, In, Item, IsNull, Like, Logic, Neg, Null, Num, Refused, Select, Str
 
 SEQ = "_seq"
@@ -351,6 +353,12 @@ class Lowering:
                 fn = self.src.windows[e.name]
                 if len(args) != fn.arity:
                     raise Refused(f"{e.name} takes {fn.arity} arguments")
+                if fn.frames:
+                    if not order:
+                        raise Refused(f"{e.name} takes a window with ORDER BY")
+                    self.df = window_kernel(self.df, name, fn.fn, args, partition, order, frame, fn.output)
+                    self.staged[e] = F.col(name)
+                    return self.staged[e]
                 out = fn.over(args, spec(partition, order, frame))
             elif e.name in STATS:
                 if len(args) != STATS[e.name]:
@@ -361,7 +369,9 @@ class Lowering:
             elif e.name in AGGREGATES:
                 if len(args) != 1:
                     raise Refused(f"{e.name.upper()} takes 1 argument")
-                out = getattr(F, e.name)(args[0]).over(spec(partition, order, frame))
+                value = getattr(F, e.name)(args[0])
+                alone = not partition and not order and e.name not in ("first", "last")
+                out = over_all(self.df, value) if alone else value.over(spec(partition, order, frame))
             else:
                 raise Refused(f"no window function {e.name}")
         self.df = self.df.withColumn(name, out)
@@ -507,6 +517,33 @@ class Lowering:
         return e
 
 
+def key_bounds(where, key: str | None, alias: str | None = None) -> tuple[int, int] | None:
+    """The range of keys that a condition leaves, as far as its AND-ed comparisons of the key with numbers tell; None: any key."""
+    lo, hi, found = -(2**63), 2**63 - 1, False
+    todo = [where] if key is not None else []
+    flip = {"<": ">", ">": "<", "<=": ">=", ">=": "<=", "=": "="}
+    while todo:
+        e = todo.pop()
+        if isinstance(e, Logic) and e.op == "and":
+            todo += e.args
+        if not isinstance(e, Cmp) or e.op not in flip:
+            continue
+        op, a, b = e.op, e.left, e.right
+        if isinstance(b, Col):
+            op, a, b = flip[op], b, a
+        sign = 1
+        if isinstance(b, Neg):
+            sign, b = -1, b.arg
+        if not (isinstance(a, Col) and a.name == key and a.table in (None, alias) and isinstance(b, Num)):
+            continue
+        v = sign * Fraction(b.text)
+        if op in ("<", "<=", "="):
+            hi, found = min(hi, math.ceil(v) - 1 if op == "<" else math.floor(v)), True
+        if op in (">", ">=", "="):
+            lo, found = max(lo, math.floor(v) + 1 if op == ">" else math.ceil(v)), True
+    return (lo, hi) if found else None
+
+
 def lower(s: Select, tables) -> DataFrame:
     return Lowering(s, tables).run()
 

@@ -15,38 +15,22 @@ KINDS = {"double": "double", "bigint": "long"}
 
 @dataclass(frozen=True)
 class WindowFunction:
-    """fn(arrays of one frame) -> number or None."""
+    """fn(arrays of one frame) -> number or None. With ``frames``: fn(arrays, starts, ends) -> a number for each frame, called once for many rows in order
+    (``operators.windows.window_kernel``), which spares the call for each row."""
 
     fn: Callable
     arity: int
     output: str = "double"
+    frames: bool = False
 
     def over(self, args: list[Column], w: WindowSpec) -> Column:
         fn, whole = self.fn, self.output == "bigint"
 
-        def kernel(*series: pd.Series):
+        def kernel(*series: pd.Series) -> float:
             out = fn(*[s.to_numpy() for s in series])
             return None if out is None else int(out) if whole else float(out)
 
-        if self.arity == 1:
-
-            def one(a: pd.Series) -> float:
-                return kernel(a)
-
-            typed = one
-        elif self.arity == 2:
-
-            def two(a: pd.Series, b: pd.Series) -> float:
-                return kernel(a, b)
-
-            typed = two
-        else:
-
-            def three(a: pd.Series, b: pd.Series, c: pd.Series) -> float:
-                return kernel(a, b, c)
-
-            typed = three
-        return F.pandas_udf(typed, KINDS[self.output])(*args).over(w)
+        return F.pandas_udf(kernel, KINDS[self.output])(*args).over(w)
 
 
 @dataclass(frozen=True)
