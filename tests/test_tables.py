@@ -173,3 +173,143 @@ def test_arrow_in_and_matrices(db):
     a, b = np.arange(6.0).reshape(2, 3), np.arange(12.0).reshape(3, 4)
     assert np.array_equal(matvec(a.T.reshape(-1), b[:, 0], 2), a @ b[:, 0]) and dot(b[0], b[1]) == b[0] @ b[1]
     assert np.array_equal(matmat(a.T.reshape(-1), b.T.reshape(-1), 2, 3), (a @ b).T.reshape(-1))
+
+
+def test_rows_survive_a_writer_that_dies(spark):
+    path = new_folder(spark, "died")
+    first = Database(spark, path)
+    first.create_table(MAKE)
+    first.append("t", [1, "a", 1.5])
+    first.flush()
+    first.append("t", [2, "b", None])
+    first.table("t").append_rows([[3, "c\n", 2.0], [4, "d", float("inf")]])
+    first.folder.remove("writer.lock")  # it dies here
+    with Database(spark, path) as second:
+        assert sorted(tuple(r) for r in second.query("SELECT ts, sym, x, _seq AS s FROM t").collect()) == [(1, "a", 1.5, 0), (2, "b", None, 1), (3, "c\n", 2.0, 2), (4, "d", float("inf"), 3)]
+        assert not second.table("t").folder.names("log-")
+        second.append("t", [5, "e", 0.0])
+        log = second.table("t").folder.names("log-")[0]
+        text = second.table("t").folder.read(log)
+    with Database(spark, path) as third:
+        third.table("t").folder.write(log, text + '[6, "torn')  # an old log counts for nothing
+    with Database(spark, path, sync="off") as fourth:
+        assert fourth.query("SELECT ts FROM t").count() == 5
+        fourth.append("t", [9, "x", 0.0])
+        assert not fourth.table("t").folder.names("log-")
+
+
+def test_one_writer_even_at_once(spark):
+    path = new_folder(spark, "claims")
+    with Database(spark, path):
+        with pytest.raises(FileExistsError):
+            Database(spark, path, read_only=True).folder.claim("writer.lock", "x")
+
+
+def test_a_batch_delivered_again_is_appended_once(db, spark):
+    frame = spark.createDataFrame([(1, "a", 1.0), (2, "a", 2.0)], "ts long, sym string, x double")
+    t = db.table("t")
+    assert t.append_frame(frame, batch=("s", 0)) == 2 and t.append_frame(frame, batch=("s", 0)) == 0
+    t.refresh()
+    assert t.append_frame(frame, batch=("s", 0)) == 0 and t.append_frame(frame, batch=("other", 0)) == 2 and t.append_frame(frame.limit(0), batch=("s", 1)) == 0
+    assert t.append_frame(frame, batch=("s", 1)) == 0 and db.query("SELECT ts FROM t").count() == 4
+
+
+def files_of(df):
+    return len({f.rsplit("/", 2)[-2] for f in df.inputFiles()})
+
+
+def test_what_changed_is_read_from_its_files_only(db, spark):
+    t = db.table("t")
+    batch = lambda k: spark.range(10).selectExpr(f"id + {k * 10} AS ts", "'a' AS sym", "double(id) AS x").coalesce(1)
+    for k in range(3):
+        t.append_frame(batch(k))
+    since, few = db.next_sequence("t"), None
+    for rounds in (0, 6):  # the table grows, the batch doesn't
+        for k in range(3, 3 + rounds):
+            t.append_frame(batch(k))
+        since = db.next_sequence("t")
+        db.mutate("DELETE FROM t WHERE ts = 5")
+        t.append_frame(batch(20 + rounds))
+        touched = t.touched_rows(since)
+        assert files_of(touched) == (2 if rounds == 0 else 1) and touched.count() == (11 if rounds == 0 else 10)
+        few = few or files_of(touched)
+    assert files_of(db.query("SELECT x FROM t WHERE ts >= 31 AND 35 > ts")) <= 2 and db.query("SELECT x FROM t WHERE ts >= 31 AND 35 > ts").count() == 4
+    assert t.touched_range(db.next_sequence("t")) is None
+    db.compact("t")
+    assert t.touched_range(db.next_sequence("t")) is None and db.query("SELECT x FROM t WHERE ts < 10").count() == 9
+    before = len(t.folder.names(under="adds"))
+    assert db.vacuum("t") >= before - 1 and len(t.folder.names("manifest-")) == 1
+    assert db.query("SELECT x FROM t").count() == 109 and db.query("SELECT x FROM t ASOF 4").count() == 5
+
+
+def test_an_as_of_view_has_a_ceiling(db):
+    db.create_table("CREATE TABLE q (qts BIGINT NOT NULL ORDERING KEY, qsym SYMBOL NOT NULL, bid DOUBLE)")
+    db.table("t").append_rows([[i, "a", float(i)] for i in range(100)])
+    db.table("q").append_rows([[i, "a", float(i)] for i in range(0, 60, 7)])
+    sql = "SELECT sym, ts / 10 AS d, count(*) AS n, sum(bid) AS s FROM t ASOF LEFT JOIN q ON t.sym = q.qsym AND t.ts >= q.qts GROUP BY sym, ts / 10"
+    db.create_materialized_view("v", sql)
+    db.refresh_view("v")
+    rows = lambda: sorted(str(r) for r in db.query("SELECT sym, d, n, s FROM v").collect())
+    same = lambda: rows() == sorted(str(r) for r in db.query(sql).collect())
+    view = db.views["v"]
+    assert view.record["ceiling"] == 5 and view.mat.frame().agg({"__bucket": "max"}).first()[0] == 4 and same()
+    db.append("q", [83, "a", -1.0])
+    assert same()
+    db.refresh_view("v")
+    assert view.record["ceiling"] == 8 and view.mat.frame().agg({"__bucket": "max"}).first()[0] == 7 and same()
+    db.mutate("DELETE FROM q WHERE qts > 20")
+    db.compact("q")  # the frontier goes back
+    assert same()
+    db.refresh_view("v")
+    assert view.record["ceiling"] == 1 and view.mat.frame().agg({"__bucket": "max"}).first()[0] == 0 and same()
+    db.mutate("DELETE FROM q")
+    db.compact("q")
+    db.refresh_view("v")
+    assert view.record["ceiling"] is None and view.mat.frame().count() == 0 and same()
+
+
+def test_a_bound_on_a_cumulative_view_bounds_what_is_folded(db):
+    db.table("t").append_rows([[i, "ab"[i % 2], float(i)] for i in range(200)])
+    sql = "SELECT ts, sym, sum(x) OVER (PARTITION BY sym ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM t"
+    db.create_materialized_view("c", sql)
+    db.refresh_view("c")
+    for i in range(200, 260):
+        db.append("t", [i, "a", 1.0])
+    db.append("t", [50, "b", 1000.0])
+    got = sorted(tuple(r) for r in db.query("SELECT ts, sym, s FROM c WHERE ts <= 61 AND ts > 40").collect())
+    want = sorted(tuple(r) for r in db.query(sql).collect() if 40 < r.ts <= 61)
+    assert got == want and len(got) == 22
+    assert db.views["c"].frame(keys=(-(2**63), 61)).count() < 70
+
+
+def test_files_of_statements_and_of_python(db, tmp_path):
+    (tmp_path / "a.sql").write_text("INSERT INTO t VALUES (1, 'a', 2); SELECT ts FROM t")
+    (tmp_path / "b.py").write_text("def main(db):\n    db.append('t', [2, 'b', 3.0])\n    return 7\n")
+    assert run(db, f".run {tmp_path}/a.sql").splitlines()[-1] == "1"
+    assert run(db, f".run {tmp_path}/b.py") == "7" and db.query("SELECT ts FROM t").count() == 2
+    assert run(db, ".compact t") == "" and "removed" in run(db, ".vacuum t")
+
+
+def test_window_kernels_of_many_frames_and_of_many_arguments(db):
+    import numpy as np
+
+    db.table("t").append_rows([[i, "ab"[i % 2], float(i * i % 7)] for i in range(40)])
+    db.register_window("t", "last_of", lambda a, s, e: a[0][e - 1] - a[0][s], frames=True)
+    db.register_window("t", "four", lambda a, b, c, d: a.sum() + b.sum() + c.sum() + d.sum(), arity=4)
+    sql = "SELECT ts, last_of(x) OVER (PARTITION BY sym ORDER BY ts ROWS 3 PRECEDING) AS l, four(x, x, x, x) OVER (PARTITION BY sym ORDER BY ts ROWS 1 PRECEDING) AS f FROM t ORDER BY ts"
+    x = [float(i * i % 7) for i in range(40)]
+    want = [(i, x[i] - x[max(i - 6, i % 2)], 4 * (x[i] + (x[i - 2] if i >= 2 else 0.0))) for i in range(40)]
+    assert [tuple(r) for r in db.query(sql).collect()] == want
+    db.register_window("t", "wrong", lambda a, s, e: np.zeros(1), frames=True)
+    with pytest.raises(Exception, match="one value a frame"):
+        db.query("SELECT wrong(x) OVER (ORDER BY ts ROWS 3 PRECEDING) AS l FROM t").collect()
+    with pytest.raises(Refused):
+        db.query("SELECT last_of(x) OVER (PARTITION BY sym) AS l FROM t")
+
+
+def test_runs_of_buckets():
+    from tidewater.plans.views import merged, nearest_joined
+
+    runs = merged([(5, 6), (1, 2), (3, 3), (9, 20), (12, 14), (40, 41)])
+    assert runs == [(1, 3), (5, 6), (9, 20), (40, 41)]
+    assert nearest_joined(runs, 4) == runs and nearest_joined(runs, 2) == [(1, 20), (40, 41)] and nearest_joined(runs, 1) == [(1, 41)]

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.plans.lower import Lowering, Source, lower
+from tidewater.plans.lower import Lowering, Source, key_bounds, lower
 from tidewater.plans.parse import CreateTable, Delete, Insert, Null, Num, Refused, Select, Str, Update, parse
 from tidewater.plans.views import View
 from tidewater.sources.fs import Folder
@@ -20,14 +20,15 @@ from tidewater.udf import ColumnFunction, WindowFunction
 class Database:
     """One writer, any readers. The writer holds a lock file in the folder; a reader sees what is published when it opens or refreshes."""
 
-    def __init__(self, spark: SparkSession, path: str, read_only: bool = False):
-        self.spark, self.folder, self.read_only = spark, Folder(spark, path), read_only
+    def __init__(self, spark: SparkSession, path: str, read_only: bool = False, sync: str = "full"):
+        """sync: when single rows are safe against the loss of the driver: "full" (when append returns), "group" (within GROUP_MS) or "off" (when they are flushed)."""
+        self.spark, self.folder, self.read_only, self.sync = spark, Folder(spark, path), read_only, sync
         self.windows: dict[str, dict] = {}
         self.kernels: dict[str, dict] = {}
         self.folder.make()
         if not read_only:
             try:
-                self.folder.write("writer.lock", json.dumps({"pid": os.getpid()}), new=True)
+                self.folder.claim("writer.lock", json.dumps({"pid": os.getpid()}))
             except FileExistsError:
                 raise Refused(f"{path} has a writer already; open it with read_only=True, or remove writer.lock if that writer is gone") from None
         self.tables: dict[str, Store] = {}
@@ -52,7 +53,7 @@ class Database:
             if name in self.tables:
                 self.tables[name].refresh()
             else:
-                self.tables[name] = Store.open(self.spark, self.folder.at(f"table-{name}"), self.read_only)
+                self.tables[name] = Store.open(self.spark, self.folder.at(f"table-{name}"), self.read_only, self.sync)
         for file in self.folder.names("view-"):
             name = file.removeprefix("view-").removesuffix(".json")
             record = json.loads(self.folder.read(file))
@@ -79,17 +80,19 @@ class Database:
             raise Refused("a CREATE TABLE statement is expected")
         if s.table in self.tables or s.table in self.views:
             raise Refused(f"{s.table} exists")
-        self.tables[s.table] = Store.create(self.spark, self.folder.at(f"table-{s.table}"), s.columns, s.key)
+        self.tables[s.table] = Store.create(self.spark, self.folder.at(f"table-{s.table}"), s.columns, s.key, self.sync)
         return self.tables[s.table]
 
-    def _source(self, as_of: int | None, alone: bool) -> Callable[[str], Source]:
+    def _source(self, s: Select) -> Callable[[str], Source]:
         def of(name: str) -> Source:
             if name in self.views:
-                if not alone:
+                if s.join is not None:
                     raise Refused(f"{name} is a view: a join is over tables")
-                return self.views[name].source(as_of)
+                view = self.views[name]
+                return view.source(s.as_of, key_bounds(s.where, view.shown_key(), s.alias))
             t = self.table(name)
-            return Source(t.frame(as_of).drop("_rid"), t.key, self.windows.get(name, {}), self.kernels.get(name, {}))
+            keys = key_bounds(s.where, t.key, s.alias) if s.join is None else None  # files with no such key aren't opened
+            return Source(t.frame(s.as_of, keys=keys).drop("_rid"), t.key, self.windows.get(name, {}), self.kernels.get(name, {}))
 
         return of
 
@@ -99,7 +102,7 @@ class Database:
             raise Refused("a SELECT is expected")
         if s.table in self.views and any(getattr(i.expr, "name", None) == "_seq" for i in s.items):
             raise Refused("a view has no _seq")
-        return lower(s, self._source(s.as_of, s.join is None))
+        return lower(s, self._source(s))
 
     def query_arrow(self, sql: str):
         return self.query(sql).toArrow()
@@ -157,6 +160,11 @@ class Database:
             return
         self.table(name).compact()
 
+    def vacuum(self, name: str, keep: int = 1) -> int:
+        """Removes files that none of the last ``keep`` versions of a table or view names."""
+        store = self.views[name].mat if name in self.views else self.table(name)
+        return 0 if store is None else store.vacuum(keep)
+
     def next_sequence(self, table: str) -> int:
         return self.table(table).next_sequence()
 
@@ -207,9 +215,10 @@ class Database:
         return self.views[name].refresh(rebuild)
 
     # functions
-    def register_window(self, table: str, name: str, fn: Callable, arity: int = 1, output: str = "double") -> None:
+    def register_window(self, table: str, name: str, fn: Callable, arity: int = 1, output: str = "double", frames: bool = False) -> None:
+        """frames: fn takes all frames of a run of rows in one call."""
         self.table(table)
-        self.windows.setdefault(table, {})[name.lower()] = WindowFunction(fn, arity, output)
+        self.windows.setdefault(table, {})[name.lower()] = WindowFunction(fn, arity, output, frames)
 
     def register_column(self, table: str, name: str, fn: Callable, arity: int = 1, ordered: bool = True, partition: tuple[str, ...] = ()) -> None:
         self.table(table)

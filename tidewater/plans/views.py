@@ -8,6 +8,7 @@ takes clean buckets from the materialisation and folds the others from the base.
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +21,7 @@ from tidewater.sources.store import Store
 
 BUCKET = "__bucket"
 MOST_RUNS = 500
+CELLS = 1 << 16
 HIDDEN = 1024
 
 
@@ -79,6 +81,26 @@ def classify(s: Select, key: str) -> str:
     raise Refused("this isn't one of the shapes of a maintained view")
 
 
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs in order, those that touch made one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(runs):
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = out[-1][0], max(out[-1][1], hi)
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def nearest_joined(runs: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """At most so many runs: those with the smallest gaps between them are joined."""
+    if len(runs) <= most:
+        return runs
+    gaps = sorted(range(1, len(runs)), key=lambda i: runs[i][0] - runs[i - 1][1])
+    cuts = [0, *sorted(gaps[len(runs) - most :]), len(runs)]
+    return [(runs[i][0], runs[j - 1][1]) for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
 class View:
     def __init__(self, db, name: str, sql: str, mat: Store | None = None, record: dict | None = None):
         self.db, self.name, self.sql = db, name, sql
@@ -101,10 +123,10 @@ class View:
     def width(self) -> int:
         return self.record["width"]
 
-    def _sources(self, extra: Column | None = None):
+    def _sources(self, extra: Column | None = None, keys: tuple | None = None):
         def of(name: str) -> Source:
             st = self.db.tables[name]
-            df = st.frame().drop("_rid")
+            df = st.frame(keys=keys if extra is not None and name == self.plan.table else None).drop("_rid")
             return Source(df.where(extra) if extra is not None and name == self.plan.table else df, st.key)
 
         return of
@@ -118,6 +140,10 @@ class View:
             out = out | ((F.col(col) >= F.lit(X.bucket_low(lo, self.width))) & (F.col(col) <= F.lit(X.bucket_high(hi, self.width))))
         return out
 
+    def _hull(self, runs: list[tuple[int, int]] | None) -> tuple[int, int] | None:
+        """The range of keys that holds the buckets in runs; files of the table outside it aren't read."""
+        return (X.bucket_low(min(lo for lo, _ in runs), self.width), X.bucket_high(max(hi for _, hi in runs), self.width)) if runs else None
+
     def _in(self, runs: list[tuple[int, int]]) -> Column:
         out = F.lit(False)
         for lo, hi in runs:
@@ -128,22 +154,22 @@ class View:
         """The materialisation's rows of these buckets, from the base tables."""
         where = self._ranges(runs, self.key)
         if self.shape == "running":
-            return self._partials(where)
+            return self._partials(where, self._hull(runs))
         if self.shape == "cumulative":
             return self._cumulative(runs)
         if self.shape == "joined":
-            low = Lowering(self.plan, self._sources(where))
+            low = Lowering(self.plan, self._sources(where, self._hull(runs)))
             return low.run().withColumn(BUCKET, X.bucket(F.col(next(i.name for i in self.plan.items if isinstance(i.expr, Col) and i.expr.name == self.key)), self.width))
-        out = Lowering(self.plan, self._sources(where)).run()
+        out = Lowering(self.plan, self._sources(where, self._hull(runs))).run()
         name, (w, m) = next((i.name, width_of(i.expr, self.key)) for i in self.plan.items if width_of(i.expr, self.key))
         return out.withColumn(BUCKET, F.col(name) if m == 1 else X.bucket(F.col(name), m))
 
     def _calls(self) -> list[tuple[Item, Call]]:
         return [(i, i.expr) for i in self.plan.items if isinstance(i.expr, Call)]
 
-    def _partials(self, where: Column | None) -> DataFrame:
+    def _partials(self, where: Column | None, keys: tuple | None) -> DataFrame:
         """One row for each user group and hidden bucket; AVG as sum and count, FIRST and LAST with their places."""
-        src = self._sources(where)(self.plan.table)
+        src = self._sources(where, keys)(self.plan.table)
         low = Lowering(self.plan, lambda _: src)
         low.kinds = src.kinds
         df = src.df if self.plan.where is None else src.df.where(low.predicate(self.plan.where))
@@ -181,8 +207,8 @@ class View:
     def _cumulative(self, runs: list[tuple[int, int]] | None) -> DataFrame:
         """All rows from the first dirty bucket on: windows over these rows, joined to each partition's state just before it."""
         low_bucket = min(lo for lo, _ in runs) if runs else None
-        where = None if low_bucket is None else F.col(self.key) >= F.lit(X.bucket_low(low_bucket, self.width))
-        src = self._sources(where)(self.plan.table)
+        where = None if low_bucket is None else F.col(self.key).between(*self._hull(runs))
+        src = self._sources(where, self._hull(runs))(self.plan.table)
         low = Lowering(self.plan, lambda _: src)
         low.kinds = src.kinds
         df = src.df if self.plan.where is None else src.df.where(low.predicate(self.plan.where))
@@ -195,7 +221,7 @@ class View:
             states += [(f"__s{n}", F.sum(x)), (f"__n{n}", F.count(x))] if c.name in ("sum", "avg", "count") else [(f"__s{n}", getattr(F, c.name)(x))]
         out = df.withColumns({s: e.over(w) for s, e in states})
         if low_bucket is not None and self.mat is not None:
-            before = self.mat.frame().where(F.col(BUCKET) < low_bucket)
+            before = self.mat.frame(keys=(-(2**63), low_bucket - 1)).where(F.col(BUCKET) < low_bucket)
             at = {i.expr.name: i.name for i in self.plan.items if isinstance(i.expr, Col)}
             last = F.max_by(F.struct(*[s for s, _ in states]), F.struct(F.col(at[self.key]), F.col("__src_seq")))
             edge = before.groupBy(*[F.col(at[p]).alias(f"__b_{p}") for p in part]).agg(last.alias("__edge"))
@@ -219,52 +245,62 @@ class View:
 
     # what is dirty
     def _runs(self, spans: DataFrame) -> list[tuple[int, int]]:
-        """Maximal runs of buckets that spans (lo, hi) cover; so many that a condition would be long are taken as one run, which folds more than
-        it must. The window runs over distinct spans of touched buckets, not over rows."""
-        b = spans.where("lo <= hi").distinct()
-        ends = b.agg(F.min("lo"), F.max("hi"), F.count(F.lit(1))).first()
-        if not ends[2]:
+        """Runs of buckets that spans (lo, hi) cover. Spans are gathered into CELLS cells of the range that they take up, so that many come to the driver as few; of runs
+        so many that a condition would be long the nearest are made one. Either folds more than it must, and no row less."""
+        b = spans.where("lo <= hi")
+        lo, hi = b.agg(F.min("lo"), F.max("hi")).first()
+        if lo is None:
             return []
-        if ends[2] > 100_000:
-            return [(ends[0], ends[1])]
-        w = Window.orderBy("lo", "hi")
-        far = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        islands = b.withColumn("__new", F.when(F.col("lo") <= far + 1, 0).otherwise(1)).withColumn("__r", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        found = sorted((r["lo"], r["hi"]) for r in islands.groupBy("__r").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).limit(MOST_RUNS + 1).collect())
-        return found if len(found) <= MOST_RUNS else [(ends[0], ends[1])]
+        step = (hi - lo) // CELLS + 1
+        cells = b.groupBy(F.expr(f"(lo - {lo}L) div {step}L").alias("cell")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
+        return nearest_joined(merged([(r["lo"], r["hi"]) for r in cells]), MOST_RUNS)
 
     def dirty(self) -> list[tuple[int, int]] | None:
         """Runs of buckets that the materialisation doesn't answer for; None: all."""
         if self.mat is None or self.record["stamp"] > self.base.next_sequence():
             return None
-        bucket = X.bucket(F.col(self.key), self.width)
-        parts = self.base.touched_keys(self.record["stamp"]).select(bucket.alias("lo"), bucket.alias("hi"))
+        bucket, runs = X.bucket(F.col(self.key), self.width), []
+        parts = []
+        if self.base.touched_range(self.record["stamp"]) is not None:
+            parts.append(self.base.touched_keys(self.record["stamp"]).select(bucket.alias("lo"), bucket.alias("hi")))
         if self.dim is not None:
             if self.record["dim_stamp"] > self.dim.next_sequence():
                 return None
-            touched = self.dim.touched_rows(self.record["dim_stamp"])
-            if not self.plan.join.asof:
-                if touched.limit(1).count():
+            since = self.record["dim_stamp"]
+            if self.dim.touched_range(since) is not None:
+                if not self.plan.join.asof:
                     return None
-            else:
-                parts = parts.unionByName(self._touched_by_quotes(touched))
-        runs = self._runs(parts)
+                parts.append(self._touched_by_quotes(self.dim.touched_rows(since), self.dim.touched_range(since)[0]))
+        if parts:
+            runs = self._runs(functools.reduce(DataFrame.unionByName, parts))
         if self.shape == "cumulative" and runs:
-            top = self.base.frame().agg(F.max(self.key)).first()[0]
-            top = max(runs[-1][1], int(top / self.width) if top is not None else runs[-1][1])
+            ends = self.base.key_range()
+            top = max(runs[-1][1], X.bucket_number(ends[1], self.width) if ends else runs[-1][1])
             return [(runs[0][0], top)]
+        if self._above() is not None:
+            return merged(runs + self._above()) if self.record["ceiling"] is not None else None
         return runs
 
-    def _touched_by_quotes(self, touched: DataFrame) -> DataFrame:
-        """A quote that came, went or changed at time t matters to facts of its symbol from t up to the next quote."""
+    def _above(self) -> list[tuple[int, int]] | None:
+        """Of a view over an as-of join, the buckets from the ceiling on: facts there stand at or after the last quote, so any further quote changes
+        them. They aren't materialised but folded when read. None: the view has no ceiling."""
+        if not (self.plan.join and self.plan.join.asof):
+            return None
+        ends, ceiling = self.base.key_range(), self.record["ceiling"]
+        top = X.bucket_number(ends[1], self.width) if ends else None
+        return [] if top is None or ceiling is None or ceiling > top else [(ceiling, top)]
+
+    def _touched_by_quotes(self, touched: DataFrame, least: int) -> DataFrame:
+        """A quote that came, went or changed at time t matters to facts of its symbol from t up to the next quote. least: no such t is smaller, so
+        quotes before it aren't read."""
         a, b = (c.name for c in self.plan.join.on)
         sym, at = (b, a) if b in self.dim.schema.fieldNames() else (a, b)
-        quotes = self.dim.frame().select(F.col(sym).alias("__k"), F.col(self.dim.key).alias("__t"), F.lit(0).alias("__new"))
+        quotes = self.dim.frame(keys=(least, 2**63 - 1)).where(F.col(self.dim.key) >= F.lit(least)).select(F.col(sym).alias("__k"), F.col(self.dim.key).alias("__t"), F.lit(0).alias("__new"))
         new = touched.select(F.col(sym).alias("__k"), F.col(self.dim.key).alias("__t"), F.lit(1).alias("__new")).distinct()
         later = Window.partitionBy("__k").orderBy("__t").rangeBetween(1, Window.unboundedFollowing)
         spans = quotes.unionByName(new).withColumn("__next", F.min(F.when(F.col("__new") == 0, F.col("__t"))).over(later)).where("__new = 1")
-        facts = self.base.frame().agg(F.min(self.key).alias("__lo"), F.max(self.key).alias("__hi")).first()
-        if facts[0] is None:
+        facts = self.base.key_range()
+        if facts is None:
             return spans.select(F.col("__t").alias("lo"), F.col("__t").alias("hi")).limit(0)
         lo = X.bucket(F.greatest("__t", F.lit(facts[0])), self.width)
         hi = X.bucket(F.least(F.coalesce("__next", F.lit(facts[1])), F.lit(facts[1])), self.width)
@@ -279,27 +315,36 @@ class View:
             self.dim.flush()
             dim_now = self.dim.next_sequence()
         if self.width is None:
-            ends = self.base.frame().agg(F.min(self.key), F.max(self.key)).first()
-            self.record["width"] = max(1, (ends[1] - ends[0]) // HIDDEN) if ends[0] is not None else 1
+            ends = self.base.key_range()
+            self.record["width"] = max(1, (ends[1] - ends[0]) // HIDDEN) if ends else 1
         runs = None if rebuild else self.dirty()
+        ceiling = None
+        if self._above() is not None:
+            last = self.dim.key_range()
+            ceiling = X.bucket_number(last[1], self.width) if last else None
+            if runs is not None and ceiling is not None and self.record["ceiling"] > ceiling:
+                runs = merged([*runs, (ceiling, self.record["ceiling"])])  # quotes went: what lies above the new ceiling is given up
+            if ceiling is None:
+                runs = None
+        below = lambda df: df if self._above() is None else df.where(F.col(BUCKET) < F.lit(ceiling if ceiling is not None else -(2**63)))
         if runs is None:
-            out = self.fold(None)
+            out = below(self.fold(None))
             if self.mat is None:
                 cols = [(f.name, kind_of(f.dataType), f.name != BUCKET) for f in out.schema.fields]
                 self.mat = Store.create(self.db.spark, self.db.folder.at("views", self.name), cols, BUCKET)
             self.mat.supersede(out, self.mat.frame(), 0)
         elif runs:
-            fresh, old = self.fold(runs), self.mat.frame().where(self._in(runs))
+            kept = runs if ceiling is None else [(a, min(b, ceiling - 1)) for a, b in runs if a < ceiling]
+            old = self.mat.frame(keys=(runs[0][0], runs[-1][1])).where(self._in(runs))
+            fresh = self.fold(kept) if kept else self.db.spark.createDataFrame([], old.drop("_rid", SEQ).schema)
             self.mat.supersede(fresh, old, 0)
-        if self.plan.join and self.plan.join.asof:
-            top = self.dim.frame().agg(F.max(self.dim.key)).first()[0]
-            self.record["ceiling"] = None if top is None else int(top / self.width)
+        self.record["ceiling"] = ceiling
         self.record |= {"stamp": now, "dim_stamp": dim_now}
         self.db.folder.write(f"view-{self.name}.json", json.dumps(self.record))
         return None if runs is None else len(runs)
 
-    def frame(self, as_of: int | None = None) -> DataFrame:
-        """The view's rows as the definition over the base would give them now."""
+    def frame(self, as_of: int | None = None, keys: tuple | None = None) -> DataFrame:
+        """The view's rows as the definition over the base would give them now. keys: rows of a cumulative or joined view with other keys may be left out."""
         names = [i.name for i in self.plan.items]
         if as_of is not None:
             if self.plan.join:
@@ -310,12 +355,20 @@ class View:
         if runs is None:
             return Lowering(self.plan, self._sources()).run()
         rows = self.mat.frame().drop("_rid", SEQ)
+        if keys is not None and self.shape in ("cumulative", "joined"):
+            # what lies above the last key asked for is never folded; a joined row needs no other, so its lower bound counts too
+            lo, hi = X.bucket_number(max(keys[0], -(2**63) + self.width), self.width), X.bucket_number(keys[1], self.width)
+            least = lo if self.shape == "joined" else -(2**63)
+            rows = rows.where(F.col(BUCKET).between(least, hi))
+            runs = [(max(a, least), min(b, hi)) for a, b in runs if a <= hi and b >= least]
         if runs:
             rows = rows.where(~self._in(runs)).unionByName(self.fold(runs).select(*rows.columns))
         return self._combine(rows) if self.shape == "running" else rows.select(*names)
 
-    def source(self, as_of: int | None = None) -> Source:
-        df = self.frame(as_of)
-        key = next((i.name for i in self.plan.items if width_of(i.expr, self.key) or isinstance(i.expr, Col) and i.expr.name == self.key), None)
+    def shown_key(self) -> str | None:
+        return next((i.name for i in self.plan.items if width_of(i.expr, self.key) or isinstance(i.expr, Col) and i.expr.name == self.key), None)
+
+    def source(self, as_of: int | None = None, keys: tuple | None = None) -> Source:
+        df, key = self.frame(as_of, keys), self.shown_key()
         df = df.withColumn(SEQ, F.lit(0).cast("long"))
         return Source(df, key) if key else Source(df.withColumn("__row", F.lit(0).cast("long")), "__row")

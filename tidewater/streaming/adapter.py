@@ -9,18 +9,11 @@ from tidewater.database import Database
 
 
 def stream_into(db: Database, stream: DataFrame, table: str, checkpoint: str, views: list[str] | None = None, order: list[str] | None = None, once: bool = True) -> StreamingQuery:
-    """Late rows are corrections, never dropped. A batch that is delivered again after a failure is appended once: the last batch's number is
-    kept beside the table, in the write that ends the batch."""
-    marker = f"stream-{table}.json"
+    """Late rows are corrections, never dropped. A batch that is delivered again after a failure is appended once: the version of the table that
+    holds a batch names it, so both are published by one rename. A batch belongs to the stream of its checkpoint folder."""
 
     def batch(df: DataFrame, number: int) -> None:
-        import json
-
-        done = json.loads(db.folder.read(marker))["batch"] if db.folder.exists(marker) else -1
-        if number <= done:
-            return
-        db.table(table).append_frame(df, order)
-        db.folder.write(marker, json.dumps({"batch": number}))
+        db.table(table).append_frame(df, order, (checkpoint, number))
         for v in views or []:
             db.refresh_view(v)
 
