@@ -23,7 +23,7 @@ from tidewater.workspace import new_folder
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-# ---- the tables as sources --------------------------------------------------------------------------------------------------
+# the tables as sources
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,12 +67,13 @@ ORDS = "ords AS (SELECT epoch_us(o_orderdate) AS ots, 'c' || CAST(o_custkey AS V
 
 
 def custs(spark: SparkSession, sf_dir: str) -> Source:
-    """Customers, without every 7th: a left join has misses."""
-    c = _read(spark, sf_dir, "customer").where("c_custkey % 7 <> 0")
-    return source(c.select(F.col("c_custkey").alias("cid"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("ckey"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("bal")), "cid", "cid")
+    """Customers; the key of every 7th is one that no order has, so a left join has misses."""
+    c = _read(spark, sf_dir, "customer")
+    key = F.concat(F.when(F.col("c_custkey") % 7 == 0, F.lit("x")).otherwise(F.lit("c")), F.col("c_custkey").cast("string"))
+    return source(c.select(F.col("c_custkey").alias("cid"), key.alias("ckey"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("bal")), "cid", "cid")
 
 
-CUSTS = "custs AS (SELECT c_custkey AS cid, 'c' || CAST(c_custkey AS VARCHAR) AS ckey, c_mktsegment AS segment, c_acctbal AS bal FROM customer WHERE c_custkey % 7 <> 0)"
+CUSTS = "custs AS (SELECT c_custkey AS cid, CASE WHEN c_custkey % 7 = 0 THEN 'x' ELSE 'c' END || CAST(c_custkey AS VARCHAR) AS ckey, c_mktsegment AS segment, c_acctbal AS bal FROM customer)"
 
 
 def items(spark: SparkSession, sf_dir: str) -> Source:
@@ -86,7 +87,18 @@ def items(spark: SparkSession, sf_dir: str) -> Source:
 ITEMS = """items AS (SELECT epoch_us(l_shipdate) AS lts, l_returnflag AS flag, l_linestatus AS status, 's' || CAST(l_suppkey AS VARCHAR) AS supp, l_quantity AS qty,
   l_extendedprice AS price, l_discount AS disc, l_orderkey AS okey FROM lineitem)"""
 
-SOURCES = {"ev": (ev, EV), "quotes": (quotes, QUOTES), "ords": (ords, ORDS), "custs": (custs, CUSTS), "items": (items, ITEMS)}
+def lines(spark: SparkSession, sf_dir: str) -> Source:
+    """lineitem as the dimension of an as-of join: many rows of one key and time, of which the latest born counts."""
+    li = _read(spark, sf_dir, "lineitem")
+    born = F.col("l_orderkey") * 100 + F.col("l_linenumber")
+    return source(li.select(_micros("l_shipdate").alias("lts"), F.col("l_linestatus").alias("lstat"), F.col("l_extendedprice").alias("lprice"), born.alias("lid")), "lts", "lid")
+
+
+#: DuckDB's as-of join takes any row of equal times, so its side has one row a key and time.
+LINES = """lines AS (SELECT epoch_us(l_shipdate) AS lts, l_linestatus AS lstat, arg_max(l_extendedprice, l_orderkey * 100 + l_linenumber) AS lprice,
+  max(l_orderkey * 100 + l_linenumber) AS lid FROM lineitem GROUP BY lts, lstat)"""
+
+SOURCES = {"lines": (lines, LINES), "ev": (ev, EV), "quotes": (quotes, QUOTES), "ords": (ords, ORDS), "custs": (custs, CUSTS), "items": (items, ITEMS)}
 
 
 def rounded(df: DataFrame, digits: int) -> DataFrame:
@@ -119,7 +131,7 @@ def dialect(name: str, sql: str, tables: str, doubles: str = "", others: str = "
 
 HOUR = 3_600_000_000
 
-# ---- projections, filters ----------------------------------------------------------------------------------------------------------
+# projections, filters
 dialect(
     "project_arithmetic",
     "SELECT event_id, x + y AS a, x - y AS b, x * z AS c, x / (z - 5) AS d, z % 7 AS e, -x AS f, abs(x - 50) AS g, round(z) AS h, floor(x / 3) AS i, ceil(x / 3) AS j, sqrt(x) AS k, ln(x + 1) AS l, exp(x / 1000) AS m, power(z, 2) AS n FROM ev",
@@ -134,7 +146,7 @@ dialect("filter_exact_bigint", f"SELECT event_id, ts FROM ev WHERE event_id > 43
 dialect("filter_symbols", "SELECT event_id, sym FROM ev WHERE sym IN ('click', 'view') AND usr LIKE 'u_1%' AND sym NOT LIKE '%k' AND usr <> 'u11' OR sym = 'error' AND usr NOT IN ('u1', 'u2')", "ev", "", "event_id sym")
 dialect("filter_expressions", "SELECT event_id, x, z FROM ev WHERE x * 2 > z + 20 AND x - y < z AND abs(x - z) < 40", "ev", "x z", "event_id")
 
-# ---- groups -----------------------------------------------------------------------------------------------------------------
+# groups
 dialect("agg_symbol", "SELECT sym, count(*) AS n, count(y) AS ny, sum(x) AS sx, avg(y) AS ay, min(x) AS lo, max(z) AS hi, sum(event_id) AS ids, first(y) AS fy, last(y) AS ly FROM ev GROUP BY sym", "ev", "sx ay lo hi fy ly", "sym n ny ids",
         duck="SELECT sym, count(*) AS n, count(y) AS ny, sum(x) AS sx, avg(y) AS ay, min(x) AS lo, max(z) AS hi, CAST(sum(event_id) AS BIGINT) AS ids, arg_min(y, ts) FILTER (WHERE y IS NOT NULL) AS fy, arg_max(y, ts) FILTER (WHERE y IS NOT NULL) AS ly FROM ev GROUP BY sym", digits=4)
 dialect("agg_two_symbols", "SELECT sym, usr, count(*) AS n, avg(x) AS ax FROM ev GROUP BY sym, usr", "ev", "ax", "sym usr n")
@@ -147,13 +159,13 @@ dialect("agg_having", f"SELECT usr, count(*) AS n, sum(x) AS s FROM ev GROUP BY
 dialect("distinct", "SELECT DISTINCT flag, status FROM items", "items", "", "flag status")
 dialect("agg_prices", "SELECT flag, status, count(*) AS n, sum(qty) AS q, avg(price) AS p, avg(disc) AS d FROM items WHERE disc < 0.09 GROUP BY flag, status", "items", "q p d", "flag status n", digits=3)
 
-# ---- order --------------------------------------------------------------------------------------------------------------------
+# order
 dialect("top_k", "SELECT ts, sym, x FROM ev ORDER BY ts DESC LIMIT 25", "ev", "x", "ts sym")
-dialect("order_nulls", "SELECT event_id, y FROM ev WHERE event_id < 200 ORDER BY y ASC NULLS FIRST LIMIT 12", "ev", "y", "event_id",
-        duck="SELECT event_id, y FROM ev WHERE event_id < 200 ORDER BY y ASC NULLS FIRST, event_id LIMIT 12")
+dialect("order_nulls", "SELECT event_id, y FROM ev ORDER BY y ASC NULLS FIRST LIMIT 12", "ev", "y", "event_id",
+        duck="SELECT event_id, y FROM ev ORDER BY y ASC NULLS FIRST, event_id LIMIT 12")
 dialect("order_hidden", "SELECT sym, x FROM ev ORDER BY event_id LIMIT 20 OFFSET 10", "ev", "x", "sym")
 
-# ---- windows -----------------------------------------------------------------------------------------------------------------------
+# windows
 _R = "OVER (PARTITION BY sym ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
 dialect("window_rows", f"SELECT event_id, sum(x) {_R} AS s, avg(x) {_R} AS a, min(x) {_R} AS lo, max(x) {_R} AS hi, count(x) {_R} AS n, first(x) {_R} AS f, last(x) {_R} AS l FROM ev", "ev", "s a lo hi f l", "event_id n", digits=5)
 dialect("window_lag_lead", "SELECT event_id, lag(x) OVER (PARTITION BY sym ORDER BY ts) AS a, lead(y, 3) OVER (PARTITION BY sym ORDER BY ts) AS b, lag(event_id, 2) OVER (ORDER BY ts) AS c FROM ev", "ev", "a b", "event_id c")
@@ -165,6 +177,12 @@ dialect("window_running", "SELECT event_id, sum(x) OVER (PARTITION BY usr ORDER
 dialect("window_partition", "SELECT event_id, x / sum(x) OVER (PARTITION BY sym) AS share, (x - avg(x) OVER (PARTITION BY sym)) / stddev_pop(x) OVER (PARTITION BY sym) AS z1 FROM ev", "ev", "share z1", "event_id")
 dialect("window_cross_section", f"SELECT event_id, avg(x) OVER (PARTITION BY ts / {HOUR}) AS a, count(x) OVER (PARTITION BY sym, ts / {HOUR}) AS n, max(z) OVER () AS m FROM ev", "ev", "a m", "event_id n",
         duck=f"SELECT event_id, avg(x) OVER (PARTITION BY ts // {HOUR}) AS a, count(x) OVER (PARTITION BY sym, ts // {HOUR}) AS n, max(z) OVER () AS m FROM ev")
+_U = "OVER (PARTITION BY supp ORDER BY lts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+dialect("window_range_running", f"SELECT okey, lts, qty, sum(qty) {_U} AS s, count(qty) {_U} AS n, max(qty) {_U} AS m FROM items", "items", "qty s m", "okey lts n", digits=3)
+_N = "OVER (PARTITION BY usr ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
+dialect("window_stats_nulls", f"SELECT event_id, var_pop(y) {_N} AS v, covar_pop(y, x) {_N} AS c, regr_slope(y, x) {_N} AS b, covar_pop(y, x) OVER (PARTITION BY sym) AS w, covar_pop(y, x) OVER () AS a FROM ev", "ev", "v c b w a", "event_id",
+        duck=f"""SELECT event_id, var_pop(y) {_N} AS v, covar_pop(y, x) {_N} AS c, CASE WHEN regr_count(y, x) {_N} >= 2 AND var_pop(CASE WHEN y IS NOT NULL THEN x END) {_N} > 0 THEN regr_slope(y, x) {_N} END AS b,
+          covar_pop(y, x) OVER (PARTITION BY sym) AS w, covar_pop(y, x) OVER () AS a FROM ev""", digits=4)
 _S = ["var_pop", "stddev_pop", "covar_pop", "corr", "regr_slope", "regr_intercept", "regr_r2"]
 
 
@@ -186,7 +204,7 @@ for _name, _frame in (("stats_rows", "ROWS BETWEEN 31 PRECEDING AND CURRENT ROW"
     _mine, _duck = _stats(_frame)
     dialect(f"window_{_name}", _mine, "ev", " ".join(f"{s}1" for s in [*_S, "eigen"]), "event_id", duck=_duck, digits=4)
 
-# ---- joins --------------------------------------------------------------------------------------------------------------------
+# joins
 dialect("join_star_inner", "SELECT okey, segment, price, bal FROM ords JOIN custs ON ords.cust = custs.ckey WHERE price > 1000 AND segment <> 'BUILDING'", "ords custs", "price bal", "okey segment")
 dialect("join_star_left", "SELECT okey, cust, segment, bal FROM ords LEFT JOIN custs ON ords.cust = custs.ckey", "ords custs", "bal", "okey cust segment")
 dialect("join_star_agg", "SELECT segment, status, count(*) AS n, sum(price) AS s FROM ords JOIN custs ON ords.cust = custs.ckey GROUP BY segment, status", "ords custs", "s", "segment status n", digits=2)
@@ -200,6 +218,9 @@ dialect("join_asof_agg", f"SELECT sym, ts / {24 * HOUR} AS d, count(*) AS n, sum
         duck=f"SELECT sym, ts // {24 * HOUR} AS d, count(*) AS n, sum(bid) AS s FROM ev ASOF JOIN quotes ON ev.usr = quotes.qusr AND ev.ts >= quotes.qts GROUP BY sym, d", digits=4)
 
 
+dialect("join_asof_ties", "SELECT okey, lprice, lid FROM ords ASOF LEFT JOIN lines ON ords.status = lines.lstat AND ords.ots >= lines.lts", "ords lines", "lprice", "okey lid")
+
+
 def query(name: str, tables: str, duck: str, doubles: str = "", others: str = "", digits: int = 6):
     """A query written with the DataFrame functions, with its SQL."""
 
@@ -212,7 +233,7 @@ def query(name: str, tables: str, duck: str, doubles: str = "", others: str = ""
     return add
 
 
-# ---- the flagship: bars ---------------------------------------------------------------------------------------------------------------
+# the flagship: bars
 @query(
     "bars_ohlc", "ev",
     f"""SELECT sym, bar, n, o, h, l, c, v, lag(c) OVER w AS prev, avg(c) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS mean20 FROM (
@@ -225,7 +246,7 @@ def bars_ohlc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.withColumns({"prev": F.lag("c").over(w), "mean20": F.avg("c").over(w.rowsBetween(-19, 0))})
 
 
-# ---- series -----------------------------------------------------------------------------------------------------------------------------
+# series
 _BY = "OVER (PARTITION BY sym ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
 
 
@@ -237,8 +258,23 @@ _BY = "OVER (PARTITION BY sym ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT R
 )
 def series_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, x, z = Window.partitionBy("sym").orderBy("ts", "_seq"), F.col("x"), F.col("z")
-    cols = {"rs": W.rolling_sum(x, 10, w), "rm": W.rolling_mean(x, 10, w), "rd": W.rolling_dot(x, z, 10, w), "rv": W.rolling_var(x, 10, w), "rsd": W.rolling_std(x, 10, w)}
+    cols = {"rs": W.rolling_sum(x, 10, w), "rm": W.rolling_mean(x, 10, w), "rd": W.rolling_dot(x, z, 10, w)}
     cols |= {"d": W.diff(x, w), "lr": W.log_returns(x, w), "r": W.returns(x, w), "em": W.expanding(F.avg, x, w)}
+    df = ev(spark, sf_dir).df.select("event_id", "sym", "ts", "_seq", "x", "z")
+    spread = W.window_stats(df, {"rv": ("var_pop", "x"), "rsd": ("stddev_pop", "x")}, ["sym"], ["ts", "_seq"], W.Frame("rows", 9))
+    return spread.withColumns(cols).select("event_id", *cols, "rv", "rsd")
+
+
+@query(
+    "series_more", "ev",
+    f"""SELECT event_id, CASE WHEN stddev_pop(x) {_BY} > 0 THEN (x - avg(x) {_BY}) / stddev_pop(x) {_BY} END AS zs, var_pop(x) OVER (w ROWS UNBOUNDED PRECEDING) AS ev,
+      stddev_pop(x) OVER (w ROWS UNBOUNDED PRECEDING) AS es, sum(x) OVER (w ROWS UNBOUNDED PRECEDING) AS su FROM ev WINDOW w AS (PARTITION BY sym ORDER BY ts)""",
+    "zs ev es su", "event_id", 3,
+)
+def series_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, x = Window.partitionBy("sym").orderBy("ts", "_seq"), F.col("x")
+    z = W.zscore(x, 10, w)
+    cols = {"zs": F.when(~F.isnan(z), z), "ev": W.expanding(F.var_pop, x, w), "es": W.expanding(F.stddev_pop, x, w), "su": W.expanding(F.sum, x, w)}
     return ev(spark, sf_dir).df.withColumns(cols).select("event_id", *cols)
 
 
@@ -263,7 +299,7 @@ def multifactor_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multifactor.rolling_fit(df, "x", ["a", "b"], 24, ["sym"], ["ts", "_seq"]).select("event_id", "fit_a", "fit_b")
 
 
-# ---- functions of one's own --------------------------------------------------------------------------------------------------------
+# functions of one's own
 def _spread(a: np.ndarray) -> float:
     return float(a.max() - a.min())
 
@@ -275,6 +311,20 @@ def udf_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Lowering(parse("SELECT event_id, spread(x) OVER (PARTITION BY sym ORDER BY ts ROWS 7 PRECEDING) AS s FROM ev"), lambda _: src).run()
 
 
+def _mean_of_frames(args: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0.0], np.cumsum(args[0] - args[0][0])])
+    return args[0][0] + (total[end] - total[start]) / (end - start)
+
+
+@query("udf_frames", "ev", "SELECT event_id, avg(x) OVER (PARTITION BY usr ORDER BY ts ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS m, avg(x) OVER (PARTITION BY usr ORDER BY ts ROWS UNBOUNDED PRECEDING) AS r FROM ev", "m r", "event_id", 4)
+def udf_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window kernel that takes all frames of a batch in one call."""
+    src = ev(spark, sf_dir)
+    src.windows = {"mean_of": WindowFunction(_mean_of_frames, 1, frames=True)}
+    sql = "SELECT event_id, mean_of(x) OVER (PARTITION BY usr ORDER BY ts ROWS 7 PRECEDING) AS m, mean_of(x) OVER (PARTITION BY usr ORDER BY ts ROWS UNBOUNDED PRECEDING) AS r FROM ev"
+    return Lowering(parse(sql), lambda _: src).run()
+
+
 @query("udf_column", "ev", "SELECT event_id, (x - z) / z AS r FROM ev WHERE z > 0", "r", "event_id")
 def udf_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = ev(spark, sf_dir)
@@ -289,7 +339,7 @@ def udf_column_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Lowering(parse("SELECT event_id, running(x) AS c FROM ev"), lambda _: src).run()
 
 
-# ---- tables with versions --------------------------------------------------------------------------------------------------------
+# tables with versions
 def _loaded(spark: SparkSession, sf_dir: str, name: str) -> Database:
     """A database with the events as table t (ts, sym, id, x), in order of ts."""
     db = Database(spark, new_folder(spark, name))
@@ -357,7 +407,7 @@ def store_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read("SELECT id, x FROM t")
 
 
-# ---- maintained views: made, refreshed, made stale, repaired and made stale again ----------------------------------------------------------------
+# maintained views: made, refreshed, made stale, repaired and made stale again
 _DAY = 24 * HOUR
 VIEWS = {
     "bucketed": (f"SELECT sym, ts / {_DAY} AS d, count(*) AS n, sum(x) AS s, avg(x) AS a, min(x) AS lo, last(x) AS l FROM t GROUP BY sym, ts / {_DAY}",
@@ -370,11 +420,11 @@ VIEWS = {
     "star_bucketed": (f"SELECT grp, ts / {_DAY} AS d, count(*) AS n, sum(x) AS s FROM t JOIN k ON t.sym = k.ksym GROUP BY grp, ts / {_DAY}",
                       f"SELECT grp, ts // {_DAY} AS d, count(*) AS n, sum(x) AS s FROM t JOIN k ON t.sym = k.ksym GROUP BY grp, d", "s", "grp d n"),
 }
-#: Facts are the events but purchases, of which every 5th is a quote for the symbol that its id selects. One fact comes late, some go or change.
+#: Facts are the events but purchases, each of which is a quote for the symbol that its id selects. One fact comes late, some go or change.
 _T0 = 1705276800 * 10**6
 _VIEW_TABLES = f"""t AS (SELECT ts, sym, event_id AS id, CASE WHEN event_id % 1000 = 3 THEN 7.25::DOUBLE ELSE x END AS x FROM ev WHERE sym <> 'purchase' AND event_id % 777 <> 5
     UNION ALL SELECT {_T0}, 'view', -1, 12.5::DOUBLE),
-  q AS (SELECT ts AS qts, CASE WHEN event_id % 2 = 0 THEN 'view' ELSE 'click' END AS qsym, x AS bid FROM ev WHERE sym = 'purchase' AND event_id % 5 = 0 AND event_id % 15 <> 0
+  q AS (SELECT ts AS qts, CASE WHEN event_id % 2 = 0 THEN 'view' ELSE 'click' END AS qsym, x AS bid FROM ev WHERE sym = 'purchase' AND event_id % 15 <> 0
     UNION ALL SELECT {_T0 - 5}, 'view', 99.5::DOUBLE),
   k AS (SELECT * FROM (VALUES (1, 'view', 'look'), (2, 'click', 'act'), (3, 'error', 'act')) v(kid, ksym, grp))"""
 
@@ -390,7 +440,7 @@ def _view(shape: str) -> None:
         e = ev(spark, sf_dir).df.select("ts", "sym", F.col("event_id").alias("id"), "x")
         db.table("t").append_frame(e.where("sym <> 'purchase'"))
         if "join" in shape:
-            q = e.where("sym = 'purchase' AND id % 5 = 0").select(F.col("ts").alias("qts"), F.expr("CASE WHEN id % 2 = 0 THEN 'view' ELSE 'click' END").alias("qsym"), F.col("id").alias("qid"), F.col("x").alias("bid"))
+            q = e.where("sym = 'purchase'").select(F.col("ts").alias("qts"), F.expr("CASE WHEN id % 2 = 0 THEN 'view' ELSE 'click' END").alias("qsym"), F.col("id").alias("qid"), F.col("x").alias("bid"))
             db.table("q").append_frame(q)
         db.mutate("INSERT INTO k VALUES (1, 'view', 'look'), (2, 'click', 'act'), (3, 'error', 'act')")
         db.create_materialized_view("v", mine)
@@ -414,7 +464,33 @@ for _shape in VIEWS:
     _view(_shape)
 
 
-# ---- streaming ----------------------------------------------------------------------------------------------------------------------
+@query("view_as_of", "ev", f"SELECT sym, ts // {_DAY} AS d, count(*) AS n, sum(x) AS s FROM ev GROUP BY sym, d", "s", "sym d n", 4)
+def view_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view as of a sequence before a delete and a compaction of table and view."""
+    db = _loaded(spark, sf_dir, "view-as-of")
+    db.create_materialized_view("v", f"SELECT sym, ts / {_DAY} AS d, count(*) AS n, sum(x) AS s FROM t GROUP BY sym, ts / {_DAY}")
+    db.refresh_view("v")
+    cut = db.next_sequence("t") - 1
+    db.mutate("DELETE FROM t WHERE x > 50")
+    db.refresh_view("v")
+    db.compact("t")
+    db.compact("v")
+    return db.query(f"SELECT sym, d, n, s FROM v ASOF {cut}")
+
+
+@query("view_compacted", "ev", f"SELECT sym, ts // {_DAY} AS d, count(*) AS n, sum(x) AS s FROM ev WHERE x <= 50 GROUP BY sym, d", "s", "sym d n", 4)
+def view_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = _loaded(spark, sf_dir, "view-compacted")
+    db.create_materialized_view("v", f"SELECT sym, ts / {_DAY} AS d, count(*) AS n, sum(x) AS s FROM t GROUP BY sym, ts / {_DAY}")
+    db.refresh_view("v")
+    db.mutate("DELETE FROM t WHERE x > 50")
+    db.refresh_view("v")
+    db.compact("v")
+    db.compact("t")
+    return db.query("SELECT sym, d, n, s FROM v")
+
+
+# streaming
 @query("stream_view", "ev", f"SELECT sym, ts // {_DAY} AS d, count(*) AS n, sum(x) AS s FROM ev GROUP BY sym, d", "s", "sym d n", 4)
 def stream_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of events arrive as a stream, are appended batch by batch, and a view follows."""
