@@ -142,8 +142,7 @@ def test_quality_classifier(spark, empty):
     held = [i for i in range(298) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum((got[i] >= 0.3) == i % 2 for i in held) / len(held) > 0.95
     assert got[300] == got[301] and all(0 <= s <= 1 for s in got.values())
-    used = {r[2] for r in [(0, 0, 0)]} and quality_classifier.training_rows(docs, labels)
-    assert len(used) == 298 - len(held) - (5 in held) or len(used) == 298 - len(held)
+    assert len(quality_classifier.training_rows(docs, labels)) == 298 - len(held)
     assert quality_classifier.score_texts(docs, quality_classifier.fit(docs, labels.limit(0))).agg(F.countDistinct("score")).first()[0] == 1
     assert quality_classifier.score_texts(empty, model).count() == 0
 
@@ -520,10 +519,20 @@ def test_repeated_rows_do_not_crash(spark):
     assert suffix_dedup.remove_repeats(d, buckets=2).count() == 4
     assert line_dedup.dedup_lines(d, buckets=2).count() == 4
     assert sum(r.length for r in packing.pack_texts(d).collect()) > 4
-    assert fingerprints.fingerprint_documents(d, parts=2).count() >= 2
+    assert fingerprints.fingerprint_documents(d, parts=2).count() == 4
     sized = d.withColumn("size", F.lit(3)).withColumn("source", F.lit(None).cast("string"))
     assert mixing.mix_copies(sized).count() == 4
 
 
+def test_columns_with_the_names_of_results_are_replaced(spark):
+    d = spark.createDataFrame([(1, "All rights reserved here in some text of twenty words " * 3, "n", "k", "l", "b", "s", 7)], "doc_id long, text string, n_words string, kept string, labels string, _base string, score string, base_failed int")
+    r = license_scan.scan_licenses(d).first()
+    assert (r.n_words, r.n_base, r.labels, r.kept, r._base) == (30, 3, "reserved", "k", "b") and r.score > 0
+    r = quality_rules.apply_rules(d).first()
+    assert (r.n_words, r.kept, r.base_failed, r.labels) == (30, False, True, "l")
+    model = quality_classifier.train([])
+    assert quality_classifier.score_texts(d, model).first().score == 0.5
+
+
 def test_every_query_has_a_name():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)

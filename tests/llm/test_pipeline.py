@@ -46,6 +46,88 @@ def test_lines_and_mix_keep_null_and_repeated_ids(spark):
     assert len(mixed) == want and set(mixed) <= {tuple(r) for r in docs.collect()}
 
 
+def test_every_stage_by_brute_force_on_odd_rows(spark, tmp_path):
+    """Null ids, null and empty texts, repeated rows, equal ids with different texts, further columns with the names that stages use."""
+    import collections
+    import random
+
+    import corpus_pipeline as C
+    from tidewater.llm import packing, quality_classifier
+    from tidewater.llm.common import table, written
+
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("aeiortnsl") for _ in range(rnd.randint(2, 8))) for _ in range(300)]
+    prose = lambda n: "\n".join(" ".join(rnd.choice(words) for _ in range(rnd.randint(6, 14))) for _ in range(n))
+    shared = prose(1)
+    texts = [prose(rnd.randint(1, 6)) for _ in range(40)] + [f"{prose(2)}\n{shared}" for _ in range(5)]
+    texts += [t.replace(" ", "  ", 3) for t in texts[:4]] + ["$$$ ### " * 12] * 3 + [None, "", " \n ", "one", "ONE", None]
+    rows = [(rnd.choice([None, i, i, i, 7]), t, rnd.choice(["en", None]), rnd.choice(["a", "b", None]), 0, f"c{i}", 1.5, i) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], rows[50]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copies string, score double, size int"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    bad = lambda t: "$" in (t or "")
+    spark.createDataFrame([(r[0], int(not bad(r[1]))) for r in rows if r[0] is not None], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    path, stages = str(tmp_path), dict(C.STAGES)
+    docs = table(spark, path, "documents")
+    rows_of = lambda df: [tuple(r) for r in df.select(*C.COLUMNS).collect()]
+    same = lambda a, b: sorted(map(str, a)) == sorted(map(str, b))
+
+    kept = written(stages["quality"](spark, docs, path), "q")
+    model = quality_classifier.fit(docs, table(spark, path, "labels"))
+    good = {r.text for r in quality_classifier.score_texts(docs, model).collect() if r.score >= 0.3}
+    now = [r[:5] for r in rows if r[1] in good]
+    assert same(rows_of(kept), now) and len(now) < len(rows)
+
+    distinct = list(dict.fromkeys((r[0], r[1] or "") for r in now))
+    h = [r.h for r in spark.createDataFrame([(n, t) for n, (_, t) in enumerate(distinct)], "n int, t string").selectExpr("n", "shiftrightunsigned(xxhash64(cast(t as binary)), 1) AS h").orderBy("n").collect()]
+    earlier, left = [], {}
+    for _, (i, t) in sorted(zip(h, distinct), key=lambda y: (y[1][0] is None, y[1][0] or 0, y[0])):
+        lines = []
+        for line in t.split("\n"):
+            w = frozenset(line.lower().split())
+            if not (w and any(5 * len(w & x) >= 4 * len(w | x) for x in earlier)):
+                lines.append(line)
+            if w:
+                earlier.append(w)
+        left[i, t] = "\n".join(lines)
+    now = [(i, left[i, t or ""], g, s, len(left[i, t or ""])) for i, t, g, s, _ in now]
+    kept = written(stages["lines"](spark, kept, path), "l")
+    assert same(rows_of(kept), now)
+
+    sets = []
+    for _, t, *_ in now:
+        w = t.lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))})
+    group = list(range(len(now)))
+    for a in range(len(now)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    kept = written(stages["near_duplicates"](spark, kept, path), "n")
+    one = rows_of(kept)
+    assert len(one) == len(set(group)) and set(one) <= set(now)
+    least = lambda g: min(((now[k][0] is None, now[k][0] or 0) for k in range(len(now)) if group[k] == g))
+    assert sorted((r[0] is None, r[0] or 0) for r in one) == sorted(least(g) for g in set(group))
+
+    mixed = written(stages["mix"](spark, kept, path), "m")
+    times = collections.Counter(rows_of(mixed))
+    assert set(times) <= set(one) and max(times.values()) <= 2
+    total = sum(len((r[1] or "").split()) for r in one)
+    assert abs(sum(n * len((r[1] or "").split()) for r, n in times.items()) - 1.5 * total) < 0.15 * total
+
+    tokens = collections.Counter()
+    tokenizer = packing.Encoder().whole
+    for r, n in times.items():
+        tokens[r[0]] += n * (len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids) + 1)
+    have = collections.Counter()
+    for p in stages["pack"](spark, mixed, path).collect():
+        have[p.doc_id] += p.length
+    assert have == tokens
+
+    for name, stage in C.STAGES:
+        assert stage(spark, docs.limit(0), path).count() == 0, name
+
+
 def test_near_duplicates_by_brute_force(spark):
     import random
 

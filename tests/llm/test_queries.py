@@ -46,9 +46,10 @@ def run(spark, data, name):
     return QUERIES[name](spark, data[0]).collect()
 
 
-def text_order(rows):
-    """Rows from the largest doc_id on, nulls last, equal ids by text."""
-    return sorted(((r[0], r[1] or "") for r in rows), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+def text_order(spark, rows):
+    """Rows from the largest doc_id on, nulls last, equal ids from the largest hash of the text on."""
+    h = [r.h for r in spark.createDataFrame([(n, r[1]) for n, r in enumerate(rows)], "n int, t string").selectExpr("n", "xxhash64(coalesce(t, '')) AS h").orderBy("n").collect()]
+    return [(i, t) for _, _, i, t in sorted((((r[0] is None, -(r[0] or 0)), -x, r[0], r[1] or "") for r, x in zip(rows, h)), key=lambda y: y[:2])]
 
 
 def same(got, want):
@@ -110,9 +111,29 @@ def test_op3(spark, data):
 
     weights, bias = quality_classifier.fit(table(spark, data[0], "documents"), table(spark, data[0], "labels"))
 
-    def score(t):  # one feature after the other
-        words = (t or "").split()
-        idx = [zlib.crc32(g.encode()) % quality_classifier.BUCKETS for w in words for g in (f"\x01{w}", *(f"<{w}>"[i : i + n] for n in (3, 4, 5) for i in range(len(w) + 3 - n)))]
+    of, m64 = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64).tolist(), 2**64
+    base = 0x9E3779B97F4A7C15
+
+    def mix(h):
+        for _ in range(2):
+            h = (h ^ (h >> 32)) * 0xD6E8FEB86659FD93 % m64
+        return h
+
+    def features(w):  # of one word, one n-gram after the other
+        h = mix(sum(of[c] * pow(base, j, m64) for j, c in enumerate(w.encode())) % m64)
+        out = [mix(h ^ 0xA24BAED4963EE407) >> 48]
+        marked = f"<{w}>"
+        for n in (3, 4, 5):
+            for i in range(len(marked) - n + 1):
+                g = 0
+                for c in marked[i : i + n]:
+                    g = (g * base + ord(c)) % m64
+                out.append(mix((g + n) % m64) >> 48)
+        return out
+
+    def score(t):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        idx = [x for w in words for x in features(w)]
         idx += [quality_classifier.REPEAT] * sum(a == b for a, b in zip(words, words[1:]))
         return 1 / (1 + np.exp(-min(max(bias + (np.mean(weights[idx].astype(float)) if idx else 0.0), -30), 30)))
 
@@ -121,8 +142,32 @@ def test_op3(spark, data):
     assert all(r.predicted == (r.score >= 0.3) for r in got)
 
 
+def test_op3_learns_the_given_labels(spark):
+    """Held-out documents of the driver's own tables."""
+    import os
+
+    path = "/root/testdata/sf0.01"
+    if not os.path.isdir(path):
+        pytest.skip("no test data")
+    got = {r.doc_id: r for r in QUERIES["op3_quality_classifier"](spark, path).collect()}
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{path}/labels.parquet").collect() if r.quality is not None and got[r.doc_id].held_out]
+    kept, junk = ([got[i].predicted for i, y in labels if y == v] for v in (1, 0))
+    assert len(labels) > 50 and sum(kept) >= 0.95 * len(kept) and sum(junk) <= 0.15 * len(junk)
+    most = max(len(kept), len(junk)) / len(labels)  # what always answering the commoner label reaches
+    assert (sum(kept) + len(junk) - sum(junk)) / len(labels) > most
+
+
+def test_op3_takes_a_bounded_number_of_texts_of_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text number {i} " * (1 + i % 3)) for i in range(40)] + [(2, "other words")] * 9, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    rows = quality_classifier.training_rows(docs, labels)
+    assert len(rows) == quality_classifier.ROWS_OF_ID + 1 and [y for _, _, y in rows].count(0) == 1
+    again = quality_classifier.training_rows(docs.repartition(7), labels)
+    assert [(a.tolist(), n.tolist()) for a, n, _ in rows] == [(a.tolist(), n.tolist()) for a, n, _ in again]
+
+
 def test_op4(spark, data):
-    order = text_order(data[1])
+    order = text_order(spark, data[1])
 
     def entries(t):
         """(hash -> first place, complete below), by the definition."""
@@ -156,6 +201,17 @@ def test_op4(spark, data):
     same([(*tuple(r)[:5], round(r.near_edited, 9), round(r.near_next, 9)) for r in got], want)
 
 
+def test_op4_splits_documents_of_one_id(spark):
+    rows = [(None if i % 3 else i, f"text {i} of many") for i in range(400)] + [(5, "x")] * 300
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    cuts = fingerprints.range_cuts([3, 5, 5, 5, 5, 9])
+    k, h = np.array([2, 3, 5, 5, 5, 9, 10]), np.array([7, -5, -(2**63), 0, 2**63 - 1, 0, 0])
+    assert fingerprints.place_in(cuts, k, h).tolist() == [0, 1, 2, 4, 5, 6, 6]
+    seen = fingerprints.with_next(d, lambda a, t, b, u: {"doc_id": a, "t": t, "b": b, "u": u}, "doc_id long, t string, b long, u string", parts=9).collect()
+    order = text_order(spark, rows)
+    same([tuple(r) for r in seen], [(*x, *y) for x, y in zip(order, order[1:] + order[:1])])
+
+
 def test_op4_is_positional():
     rnd = random.Random(2)
     a, b = (" ".join("".join(rnd.choice("aeiortn") for _ in range(6)) for _ in range(300)) for _ in range(2))

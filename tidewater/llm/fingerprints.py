@@ -10,8 +10,8 @@ anchors over all anchors there. Matching is positional: of the hashes in both, a
 So passages that changed places count once at most.
 
 A text shorter than k has one anchor, the hash of the whole text; an empty text has an empty fingerprint, like only to another empty one. A null text is
-empty; a null doc_id comes last; rows with equal doc_id stand in order of their texts, and repeated rows follow one another. An empty table gives no rows;
-columns besides doc_id and text are ignored.
+empty; a null doc_id comes last; rows with equal doc_id stand in order of a hash of their texts (from the largest, as signed numbers), and repeated rows follow one another.
+An empty table gives no rows; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +21,10 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import default_parts, table
@@ -118,57 +119,70 @@ def with_next(docs: DataFrame, fn, schema: str, key: str = "doc_id", text: str =
     """``fn(key, text, next key, next text)`` -> row, for each document and the one after it in descending order of key (after the
     last: the first). fn is called in that order within a part, on one document after the other.
 
-    The keys are cut at quantiles into ``parts`` ranges. Each range's documents meet in one task, sorted, with a copy of the
-    first document of the range that follows; only the ranges' bounds (a few numbers each) come to the driver. Nulls count as the smallest key;
-    documents with equal keys stand in order of their texts. One text crosses the network once.
+    Documents are ordered by (key, hash of the text) and cut into ``parts`` ranges: at quantiles of the key, and where a key takes up several
+    of these, evenly by hash, so a key with many documents takes many tasks. Each range's documents meet in one task, sorted, with a copy of the
+    first document of the range that follows; only the ranges' bounds (a few numbers each) come to the driver. Nulls count as the smallest key. One text crosses the network once.
     """
     spark = docs.sparkSession
     low = -(2**63)
-    d = docs.select(F.coalesce(F.col(key), F.lit(low)).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    d = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(low)).alias("k"), F.col(key).isNull().alias("none"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    d = d.withColumn("h", F.xxhash64("t"))
     parts = parts or 2 * default_parts(docs, 8)
-    cuts = d.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
-    cuts = sorted(set(cuts or []))
-    d = d.withColumn("r", _range(cuts))
-    heads = sorted((r["r"], r["top"]) for r in d.groupBy("r").agg(F.max("k").alias("top")).collect())
+    cuts = range_cuts(d.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or [])
+
+    @F.pandas_udf("int")
+    def range_of(k: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(place_in(cuts, k.to_numpy(np.int64), h.to_numpy(np.int64)).astype(np.int32))
+
+    d = d.withColumn("r", range_of("k", "h"))
+    heads = sorted((r["r"], r["top"]["k"], r["top"]["h"]) for r in d.groupBy("r").agg(F.max(F.struct("k", "h")).alias("top")).collect())
     if not heads:
         return spark.createDataFrame([], schema)
     # the top of range i goes to the next range above it as well, the very top to the lowest
-    goes = {top: heads[(i + 1) % len(heads)][0] for i, (_, top) in enumerate(heads)}
-    extra = F.element_at(F.create_map(*[x for top, r in goes.items() for x in (F.lit(top).cast("long"), F.lit(r))]), F.col("k"))
-    both = F.when(F.col("k").isin(list(goes)), F.array(F.struct(F.col("r").alias("r"), F.lit(0).alias("copy")), F.struct(extra.alias("r"), F.lit(1).alias("copy"))))
-    d = d.select("k", "t", F.explode(F.coalesce(both, F.array(F.struct(F.col("r").alias("r"), F.lit(0).alias("copy"))))).alias("x")).select("k", "t", "x.r", "x.copy")
-    d = d.repartition(parts, "r").sortWithinPartitions("r", "copy", F.col("k").desc(), "t")
+    goes = {(k, h): heads[(i + 1) % len(heads)][0] for i, (_, k, h) in enumerate(heads)}
+
+    @F.pandas_udf("array<int>")
+    def ranges_of(k: pd.Series, h: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([[x] if (y := goes.get((i, j))) is None else [x, y] for i, j, x in zip(k.tolist(), h.tolist(), r.tolist(), strict=True)])
+
+    d = d.select("k", "none", "t", "h", F.posexplode(ranges_of("k", "h", "r")).alias("copy", "r"))
+    d = d.repartition(parts, "r").sortWithinPartitions("r", "copy", F.col("k").desc(), F.col("h").desc(), "none", "t").select("k", "t", "r", "copy", "none")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_schema, waiting, done_range = None, None, None
+        waiting, done_range, kinds = None, None, _arrow(schema)
         for b in batches:
             out = []
-            for k, t, r, copy in zip(b.column(0), b.column(1), b.column(2), b.column(3), strict=True):
-                k, t, r, copy = k.as_py(), t.as_py(), r.as_py(), copy.as_py()
+            for k, t, r, copy, none in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 if r == done_range:
                     continue  # a further copy of an equal key
+                t, k = t.as_py(), None if none else k
                 if waiting is not None:
                     out.append(fn(*waiting, k, t))
                 waiting = (k, t)
                 if copy:
                     waiting, done_range = None, r
             if out:
-                yield pa.RecordBatch.from_pylist([{c: (None if c == key and v == low else v) for c, v in row.items()} for row in out], schema=out_schema or _arrow(schema))
+                yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
     return d.mapInArrow(run, schema)
 
 
-def _range(cuts: list[int]) -> Column:
-    """How many cuts are at or below k, by halving."""
-    if not cuts:
-        return F.lit(0)
-    def at(lo: int, n: int) -> Column:  # cuts[:lo] are at or below k; the answer is between lo and lo + n
-        if n == 0:
-            return F.lit(lo)
-        mid = lo + n // 2
-        return F.when(F.col("k") < F.lit(cuts[mid]), at(lo, n // 2)).otherwise(at(mid + 1, n - n // 2 - 1))
+def range_cuts(quantiles: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts (key, hash) in order: a key that stands n times among the quantiles is cut n times, evenly by hash, from its least one on."""
+    keys, times = np.unique(np.array(quantiles, np.int64), return_counts=True)
+    at = [(k, -(2**63) + (2**64 * i) // n) for k, n in zip(keys.tolist(), times.tolist(), strict=True) for i in range(n)]
+    return np.array([k for k, _ in at], np.int64), np.array([h for _, h in at], np.int64)
+
 
-    return at(0, len(cuts))
+def place_in(cuts: tuple[np.ndarray, np.ndarray], k: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """How many cuts are at or below each (k, h)."""
+    keys, hashes = cuts
+    lo, hi = np.searchsorted(keys, k, side="left"), np.searchsorted(keys, k, side="right")
+    out = lo.copy()
+    for i in np.unique(lo[hi > lo]).tolist():
+        mine = np.flatnonzero((lo == i) & (hi > lo))
+        out[mine] = i + np.searchsorted(hashes[i : hi[mine[0]]], h[mine], side="right")
+    return out
 
 
 def _arrow(schema: str) -> pa.Schema:

@@ -213,18 +213,19 @@ def _detections(norm: Column, lower: Column) -> Column:
 
 
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds to ``docs``: n_words, base_*, detections (those that survive: start, end in characters of the word form,
-    priority, rule, label), n_detections (before suppression). Columns of ``docs`` keep their names; ours win clashes."""
+    """Adds to ``docs``: n_words, n_base, first_word, last_word, base_labels, labels, rules (numbers of those with a detection that survives), n_detections
+    (before suppression) and score. Columns of ``docs`` with these names are replaced; names that begin with two underscores are ours. A null text is
+    empty: no words, no labels, score 0. Repeated rows get equal results; an empty table gives no rows."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    d = docs.withColumn("_norm", words_only(raw))
-    d = d.withColumn("_norm", F.when(F.col("_norm") == "  ", F.lit(" ")).otherwise(F.col("_norm")))
-    norm = F.col("_norm")
+    d = docs.withColumn("__norm", words_only(raw))
+    d = d.withColumn("__norm", F.when(F.col("__norm") == "  ", F.lit(" ")).otherwise(F.col("__norm")))
+    norm = F.col("__norm")
     d = d.withColumn("n_words", (_blanks(norm) - 1).cast("long"))
     # Case is folded by (?i), which means A-Z in Java; lower() folds more, so it can only let too many through a prefilter.
-    d = d.withColumn("_lower", F.lower(norm))
-    lower = F.col("_lower")
-    d = d.withColumn("_gate", functools.reduce(lambda a, b: a | b, [lower.contains(s) for s in STEMS]))
-    gate = F.col("_gate")
+    d = d.withColumn("__lower", F.lower(norm))
+    lower = F.col("__lower")
+    d = d.withColumn("__gate", functools.reduce(lambda a, b: a | b, [lower.contains(s) for s in STEMS]))
+    gate = F.col("__gate")
     base = []
     for phrase, label in BASE:
         parts = F.split(norm, f"(?i) {phrase}(?= )", -1)
@@ -241,8 +242,8 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
                 ),
             )
         )
-    d = d.withColumn("_base", F.when(gate, F.array_compact(F.array(*base))).otherwise(F.array().cast("array<struct<label:string,n:bigint,first:bigint,last:bigint>>")))
-    d = d.withColumn("_found", F.when(gate, _detections(norm, lower)).otherwise(F.array().cast("array<struct<start:int,neg_end:int,neg_priority:int,rule:int,label:string>>")))
+    d = d.withColumn("__base", F.when(gate, F.array_compact(F.array(*base))).otherwise(F.array().cast("array<struct<label:string,n:bigint,first:bigint,last:bigint>>")))
+    d = d.withColumn("__found", F.when(gate, _detections(norm, lower)).otherwise(F.array().cast("array<struct<start:int,neg_end:int,neg_priority:int,rule:int,label:string>>")))
     # The sweep. Ends are kept for priority 1 and more, 2 and more, 3; an end at or past ours covers us.
     start = F.struct(F.lit(-1).alias("e1"), F.lit(-1).alias("e2"), F.lit(-1).alias("e3"), F.array().cast("array<int>").alias("kept"))
 
@@ -257,24 +258,24 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
             F.when(reach >= end, a["kept"]).otherwise(F.array_union(a["kept"], F.array(x["rule"]))).alias("kept"),
         )
 
-    d = d.withColumn("_kept", F.when(F.size("_found") > 0, F.aggregate(F.col("_found"), start, step, lambda a: a["kept"])).otherwise(F.array().cast("array<int>")))
-    by_rule = F.transform(F.col("_kept"), lambda i: F.element_at(_rule_table(), i + 1))
-    d = d.withColumn("_hits", F.when(F.size("_kept") > 0, by_rule).otherwise(F.array().cast("array<struct<rule:int,label:string,priority:int,keyword:string,pattern:string>>")))
-    conf = F.element_at(F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv]), F.array_max(F.transform(F.col("_hits"), lambda h: h["priority"])))
+    d = d.withColumn("__kept", F.when(F.size("__found") > 0, F.aggregate(F.col("__found"), start, step, lambda a: a["kept"])).otherwise(F.array().cast("array<int>")))
+    by_rule = F.transform(F.col("__kept"), lambda i: F.element_at(_rule_table(), i + 1))
+    d = d.withColumn("__hits", F.when(F.size("__kept") > 0, by_rule).otherwise(F.array().cast("array<struct<rule:int,label:string,priority:int,keyword:string,pattern:string>>")))
+    conf = F.element_at(F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv]), F.array_max(F.transform(F.col("__hits"), lambda h: h["priority"])))
     return d.withColumns(
         {
-            "n_base": F.aggregate(F.col("_base"), F.lit(0).cast("long"), lambda a, x: a + x["n"]),
-            "first_word": F.array_min(F.transform(F.col("_base"), lambda x: x["first"])),
-            "last_word": F.array_max(F.transform(F.col("_base"), lambda x: x["last"])),
-            "base_labels": F.array_join(F.array_sort(F.transform(F.col("_base"), lambda x: x["label"])), ","),
+            "n_base": F.aggregate(F.col("__base"), F.lit(0).cast("long"), lambda a, x: a + x["n"]),
+            "first_word": F.array_min(F.transform(F.col("__base"), lambda x: x["first"])),
+            "last_word": F.array_max(F.transform(F.col("__base"), lambda x: x["last"])),
+            "base_labels": F.array_join(F.array_sort(F.transform(F.col("__base"), lambda x: x["label"])), ","),
             "labels": F.array_join(
-                F.array_sort(F.array_union(F.transform(F.col("_base"), lambda x: x["label"]), F.array_distinct(F.transform(F.col("_hits"), lambda h: h["label"])))), ","
+                F.array_sort(F.array_union(F.transform(F.col("__base"), lambda x: x["label"]), F.array_distinct(F.transform(F.col("__hits"), lambda h: h["label"])))), ","
             ),
-            "rules": F.array_sort(F.col("_kept")),
-            "n_detections": F.size("_found").cast("long"),
-            "score": F.when(F.size("_hits") > 0, conf).when(F.size("_base") > 0, F.lit(CONFIDENCE[2])).otherwise(F.lit(0.0)),
+            "rules": F.array_sort(F.col("__kept")),
+            "n_detections": F.size("__found").cast("long"),
+            "score": F.when(F.size("__hits") > 0, conf).when(F.size("__base") > 0, F.lit(CONFIDENCE[2])).otherwise(F.lit(0.0)),
         }
-    ).drop("_norm", "_lower", "_gate", "_base", "_found", "_kept", "_hits")
+    ).drop("__norm", "__lower", "__gate", "__base", "__found", "__kept", "__hits")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
