@@ -313,3 +313,21 @@ def test_runs_of_buckets():
     runs = merged([(5, 6), (1, 2), (3, 3), (9, 20), (12, 14), (40, 41)])
     assert runs == [(1, 3), (5, 6), (9, 20), (40, 41)]
     assert nearest_joined(runs, 4) == runs and nearest_joined(runs, 2) == [(1, 20), (40, 41)] and nearest_joined(runs, 1) == [(1, 41)]
+
+
+def test_a_damaged_view_record_is_refused(spark):
+    path = new_folder(spark, "record")
+    with Database(spark, path) as db:
+        db.create_table(MAKE)
+        db.create_materialized_view("v", "SELECT sym, ts / 10 AS d, count(*) AS n FROM t GROUP BY sym, ts / 10")
+        db.append("t", [1, "a", 1.0])
+        db.refresh_view("v")
+        text = db.folder.read("view-v.json")
+    with Database(spark, path) as db:
+        assert [tuple(r) for r in db.query("SELECT sym, d, n FROM v").collect()] == [("a", 0, 1)]
+        for bad in (text.replace('"stamp": 1', '"stamp": 2'), text.replace('"format": 1', '"format": 9')):
+            assert bad != text
+            db.folder.write("view-v.json", bad)
+            with pytest.raises(Refused):
+                db.refresh()
+        db.folder.write("view-v.json", text)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.plans.lower import Lowering, Source, key_bounds, lower
 from tidewater.plans.parse import CreateTable, Delete, Insert, Null, Num, Refused, Select, Str, Update, parse
-from tidewater.plans.views import View
+from tidewater.plans.views import View, sealed, unsealed
 from tidewater.sources.fs import Folder
 from tidewater.sources.store import Store
 from tidewater.udf import ColumnFunction, WindowFunction
@@ -56,7 +56,7 @@ class Database:
                 self.tables[name] = Store.open(self.spark, self.folder.at(f"table-{name}"), self.read_only, self.sync)
         for file in self.folder.names("view-"):
             name = file.removeprefix("view-").removesuffix(".json")
-            record = json.loads(self.folder.read(file))
+            record = unsealed(self.folder.read(file), name)
             mat = Store.open(self.spark, self.folder.at("views", name), self.read_only) if record["stamp"] else None
             self.views[name] = View(self, name, record["sql"], mat, record)
 
@@ -206,7 +206,7 @@ class Database:
         view = View(self, name, sql)
         view.fold(None) if view.width else None  # refuses what can't be lowered
         self.views[name] = view
-        self.folder.write(f"view-{name}.json", json.dumps(view.record))
+        self.folder.write(f"view-{name}.json", sealed(view.record))
         return view
 
     def refresh_view(self, name: str, rebuild: bool = False) -> int | None:

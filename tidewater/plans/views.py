@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import json
+import zlib
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,6 +102,24 @@ def nearest_joined(runs: list[tuple[int, int]], most: int) -> list[tuple[int, in
     return [(runs[i][0], runs[j - 1][1]) for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
+RECORD = 1
+
+
+def sealed(record: dict) -> str:
+    """A view's record as text, with its format and a checksum."""
+    body = json.dumps(record, sort_keys=True)
+    return json.dumps({"format": RECORD, "crc32": zlib.crc32(body.encode()), "view": record}, sort_keys=True)
+
+
+def unsealed(text: str, name: str) -> dict:
+    found = json.loads(text)
+    if found.get("format") != RECORD:
+        raise Refused(f"view {name}: its record has format {found.get('format')}, not {RECORD}")
+    if zlib.crc32(json.dumps(found["view"], sort_keys=True).encode()) != found["crc32"]:
+        raise Refused(f"view {name}: its record is damaged")
+    return found["view"]
+
+
 class View:
     def __init__(self, db, name: str, sql: str, mat: Store | None = None, record: dict | None = None):
         self.db, self.name, self.sql = db, name, sql
@@ -340,7 +359,7 @@ class View:
             self.mat.supersede(fresh, old, 0)
         self.record["ceiling"] = ceiling
         self.record |= {"stamp": now, "dim_stamp": dim_now}
-        self.db.folder.write(f"view-{self.name}.json", json.dumps(self.record))
+        self.db.folder.write(f"view-{self.name}.json", sealed(self.record))
         return None if runs is None else len(runs)
 
     def frame(self, as_of: int | None = None, keys: tuple | None = None) -> DataFrame:
