@@ -54,9 +54,18 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+PART_BYTES = 1 << 26
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Bytes that Spark's statistics give for a plan: of tables the size of their files; 0 where it knows none."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 55 else 0  # what it doesn't know it takes for larger than any table
+
+
 def default_parts(df: DataFrame, least: int = 1) -> int:
-    """Buckets for an exchange of our own: at least what Spark is set to use."""
-    return max(least, shuffle_parts(df.sparkSession))
+    """Buckets for an exchange of our own: at least what Spark is set to use, and so many that one holds PART_BYTES of the input's files or less."""
+    return max(least, shuffle_parts(df.sparkSession), -(-plan_bytes(df) // PART_BYTES))
 
 
 def let(value: Column, body) -> Column:
