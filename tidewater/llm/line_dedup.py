@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.blocks import ROWS, SPANS, TEXTS, as_before, beside, bucket_of, by_bucket, by_id, carried_of, dealt, doc_bytes, exchange, flat_bytes, id_hash, key_of, mix, pack, rows_batch, spread, text_blocks, texts_of, unpack
 from tidewater.llm.common import default_parts, table
+from tidewater.llm.words import LOWER, Words, pieces
 
 LEAST = 5
 NUM, DEN = 4, 5  # similarity 4/5
@@ -49,68 +50,13 @@ NAMED = [*WANT, ("size", "<i4")]
 #: Kinds of block besides SPANS = 0 and TEXTS = 3: by document PAIRS and WANTS, by word ASKED and then FIRST, and WHOLE.
 PAIRS, WANTS, ASKED, FIRST, WHOLE = 1, 2, 4, 5, 6
 MOST_MAPS = 8
-PIECE = 1 << 20
 TESTS = 1 << 20
 HELD = 1 << 22
 SENT = 1 << 24
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _HASH = (1 << 48) - 1
 _U = np.uint64
 
 
-class Words:
-    """Hashes of all words of a run of bytes at once: sums of a random number for each byte, times powers of an odd number."""
-
-    def __init__(self) -> None:
-        of = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
-        self.of = of[np.frombuffer(_LOWER, np.uint8)]
-        self.blank = np.zeros(256, bool)
-        self.blank[[9, 10, 11, 12, 13, 32]] = True
-        self.base = 0x9E3779B97F4A7C15
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        for name, x in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
-            p = getattr(self, name)
-            while len(p) < n:
-                p = np.concatenate([p, p * _U(pow(x, len(p), 1 << 64))])
-            setattr(self, name, p)
-
-    def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, hashes) of the words of the texts data[off[i] : off[i + 1]]; no word crosses an offset."""
-        n = len(data)
-        if not n:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        blank = self.blank[data]
-        first, last = ~blank, ~blank
-        first[1:] &= blank[:-1]
-        last[:-1] &= blank[1:]
-        at = off[:-1][off[:-1] < n]
-        first[at] = ~blank[at]
-        at = off[1:][off[1:] > 0] - 1
-        last[at] = ~blank[at]
-        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        h, i = np.empty(len(start), np.uint64), 0
-        while i < len(start):
-            j = max(i + 1, int(np.searchsorted(end, start[i] + PIECE, side="right")))
-            lo, hi = int(start[i]), int(end[j - 1])
-            self._powers(hi - lo + 1)
-            total = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum(self.of[data[lo:hi]] * self.up[: hi - lo], out=total[1:])
-            h[i:j] = (total[end[i:j] - lo] - total[start[i:j] - lo]) * self.down[start[i:j] - lo]
-            i = j
-        return start, mix(h)
-
-
-def pieces(off: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about PIECE bytes, at least one text each."""
-    i = 0
-    while i < len(off) - 1:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + PIECE, side="right")) - 1)
-        yield i, j
-        i = j
-
-
 def line_codes(data: np.ndarray, off: np.ndarray, words: Words, order: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, line in it, different words; all lines' sorted codes one after the other) of the lines that take part."""
     start, h = words(data, off)
@@ -146,7 +92,7 @@ def similar(a: frozenset, b: frozenset) -> bool:
 
 
 def words_of(line: bytes) -> frozenset:
-    return frozenset(line.translate(_LOWER).split())
+    return frozenset(line.translate(LOWER).split())
 
 
 def word_order(docs: DataFrame) -> np.ndarray:
@@ -241,8 +187,9 @@ def passing(rows: np.ndarray, rest: np.ndarray, asked: np.ndarray | None = None)
     both = np.arange(2 * int(n.max()) + 1)
     need = overlap_needed(both, 0)
     slack = both - 2 * need  # how far two sets of so many words together may be apart
-    end = np.searchsorted((run << 32) | n, (run << 32) | (n * DEN // NUM), side="right")  # the length filter
-    count = end - np.arange(len(rows)) - 1
+    most = np.minimum(n * DEN // NUM, (NUM + DEN) * left // NUM - n)  # words of a larger partner: length filter, and positional filter of the smaller one
+    end = np.searchsorted((run << 32) | n, (run << 32) | np.maximum(most, 0), side="right")
+    count = np.maximum(end - np.arange(len(rows)) - 1, 0)
     cum = np.concatenate([[0], np.cumsum(count)])
     i = 0
     while i < len(rows):
