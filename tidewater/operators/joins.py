@@ -68,11 +68,10 @@ def asof_join(
     if slices > 1:
         both = both.withColumn("__part", part)
         place = ["__k", "__part"]
-        spots = f.select("__k", part.alias("__part")).distinct()
-        ended = d.withColumn("__part", part).groupBy(*place).agg(F.max_by("__d", F.struct("__t", "__tie")).alias("__d"))
-        before = Window.partitionBy("__k").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-        carried = spots.unionByName(ended, allowMissingColumns=True).groupBy(*place).agg(F.first("__d", ignorenulls=True).alias("__d"))  # one of a place's two rows is null
-        carried = carried.withColumn("__carried", F.last("__d", ignorenulls=True).over(before)).where(F.col("__carried").isNotNull()).drop("__d")
+        ended = d.withColumn("__part", part).groupBy(*place).agg(F.max_by("__d", F.struct("__t", "__tie")).alias("__carried"))
+        until = F.coalesce(F.lead("__part").over(Window.partitionBy("__k").orderBy("__part")), F.lit(slices - 1))
+        carried = ended.withColumn("__until", until).where(F.col("__part") < F.col("__until"))  # a slice's last row goes to those after it, up to the next that has one
+        carried = carried.select("__k", "__carried", F.explode(F.sequence(F.col("__part") + 1, F.col("__until"))).alias("__part"))
     else:
         place = ["__k"]
     w = Window.partitionBy(*place).orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
