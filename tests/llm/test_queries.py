@@ -261,6 +261,7 @@ def test_op7_measures_before_it_orders(spark, data):
     order = quality_rules.measured_order(docs, named=named)
     assert [x[0] for x in order][0] == "common" and [x[0] for x in order][-1] == "costly"
     assert dict((n, s) for n, s, _ in order) == {"common": 1.0, "rare": 0.0, "costly": 0.0}
+    assert quality_rules.measured_order(docs, sample=10, named={"common": named["common"], "rare": named["rare"]})[0][0] == "common"  # a sample of a larger table
     assert quality_rules.measured_order(docs.limit(0), named=named) == [("costly", 0.0, 0.0), ("rare", 0.0, 0.0), ("common", 0.0, 0.0)]
 
 

@@ -18,7 +18,7 @@ from statistics import median
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import BLANK, WORD, let, table, written
+from tidewater.llm.common import BLANK, WORD, discard, let, table, written
 
 #: Rows on which cost and selectivity are measured: the only use of a sample.
 SAMPLE = 400
@@ -108,11 +108,21 @@ def measured_order(docs: DataFrame, text: str = "text", sample: int = SAMPLE, na
     """
     named = named or rules()
     by = [F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]), F.xxhash64(F.col(text))]
-    picked = written(docs.select(F.col(text).alias("text"), by[0].alias("a"), by[1].alias("b")).orderBy("a", "b").limit(sample).select("text"), "rule-sample")
+    hashed = docs.select(F.col(text).alias("text"), by[0].alias("a"), by[1].alias("b"))
+    n, share = docs.count(), 2 * sample
+    while True:  # rows with a hash below a cut that leaves about ``share``, so that few texts meet in the task that sorts them
+        cut = -(2**63) + 2**64 * share // max(n, share)
+        below = hashed.where(F.col("a") < F.lit(cut)) if share < n else hashed
+        picked = written(below.orderBy("a", "b").limit(sample).select("text"), "rule-sample")
+        if share >= n or picked.count() == sample:
+            break
+        discard(picked)
+        share *= 4
     rows = with_metrics(picked.coalesce(1)).where(~F.col("base_failed")).persist()
     n = rows.count()
     if not n:
         rows.unpersist()
+        discard(picked)
         return [(r, 0.0, 0.0) for r in named]
     many = rows.withColumn("__again", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
 
@@ -132,6 +142,7 @@ def measured_order(docs: DataFrame, text: str = "text", sample: int = SAMPLE, na
         hit, took = run(bad)
         found.append((name, hit / n, max(took - least, 0.0) / (n * REPEATS)))
     rows.unpersist()
+    discard(picked)
     return sorted(found, key=lambda x: -(x[1] + 0.5 / n) / max(x[2], 1e-9))
 
 
