@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -484,6 +485,46 @@ def test_minimizer_runs_of_a_text_over_the_chunk(spark, monkeypatch):
     assert (got[1].n_removed, got[2].n_removed, bytes(got[2].kept)) == (0, 3500, b"zz")
 
 
+def test_only_windows_with_a_common_side_of_the_anchor_are_pending():
+    """Prose of few words shares most 16-byte strings and few 100-byte ones."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("aeiortnl") for _ in range(rnd.randint(5, 9))) for _ in range(50)]
+    texts = [" ".join(rnd.choice(words) for _ in range(60)).encode() for _ in range(300)]
+    texts += [t[:150] + texts[0][100:260] + t[150:] for t in texts[1:40]]
+    data, end = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    begin = end - [len(t) for t in texts]
+    t, at, n, anchor, n_before, before, after = suffix_dedup.minimizer_runs(data, begin, end)
+    runs = np.zeros(len(t), suffix_dedup.RUN)
+    for c, v in (("anchor", anchor), ("doc", t), ("lo", at - begin[t]), ("n", n), ("n_before", n_before), ("before", before), ("after", after)):
+        runs[c] = v
+    runs["whole"] = [hash(data[x : x + k + 99].tobytes()) & (2**64 - 1) for x, k in zip(at.tolist(), n.tolist())]
+    first, others = suffix_dedup.settle(runs)
+    have = suffix_dedup.shared(first)
+    sent = {(d, lo + k) for d, lo, m in zip(have["doc"].tolist(), have["lo"].tolist(), have["n"].tolist()) for k in range(m)}
+    where = collections.defaultdict(list)
+    for d, lo, m in zip(first["doc"].tolist(), first["lo"].tolist(), first["n"].tolist()):
+        for k in range(m):
+            where[texts[d][lo + k : lo + k + 100]].append((d, lo + k))
+    wanted = {x for v in where.values() if len(v) > 1 for x in v}
+    assert wanted and wanted <= sent
+    old = first["anchor"][1:] == first["anchor"][:-1]
+    pending = first[np.append(False, old) | np.append(old, False)]
+    assert (have["n"] + 99).sum() < 0.25 * (pending["n"] + 99).sum()
+
+
+def test_suffix_dedup_deals_texts_once_and_leaves_no_shuffle_of_a_write(spark, docs):
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().endswith(".data")}
+    before = files()
+    kept = suffix_dedup.remove_repeats(docs, buckets=3)
+    for _ in range(50):  # files go a moment after the write
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    kept.collect()
+    assert "ReusedExchange" in kept._jdf.queryExecution().executedPlan().toString()
+
+
 def test_warc(spark):
     html_ = '<html lang="en"><head><title>A &amp; B</title><script>x("</p>")</script></head><body><p>One<br>two &eacute;</p><a href="/c?d=1">link</a><!-- no --></body></html>'
     pages = spark.createDataFrame([(1, "http://e.x/p", html_, "extra"), (2, None, None, "e"), (None, "http://e.x/q", "", "e"), (3, "http://e.x/p", "<p>open <b>mark", "e"), (1, "http://e.x/p", html_, "extra")], "page_id long, url string, html string, record string")

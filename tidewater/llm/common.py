@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Characters that separate words in the contracts: space, tab, newline, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -26,9 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read from a Parquet table in the shared folder. It cuts lineage, and lost executors don't take rows with them."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """The same rows, read from a Parquet table in the shared folder. It cuts lineage, and lost executors don't take rows with them. Shuffle files of the
+    write are removed when it ends, not when the driver happens to collect garbage."""
+    path, conf = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

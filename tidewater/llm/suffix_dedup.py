@@ -7,14 +7,16 @@ bytes, document, place.
 
 1. *map*: runs and their hashes. Equal runs within the task are settled there: the first stays, the others are removed.
 2. *by anchor*: equal runs are settled likewise, so copies, however many, leave one run each. Where an anchor has
-   several different runs, these are pending: their windows may be equal in part.
+   several different runs, their windows may be equal in part. A window holds SIDE bytes more before its anchor or as many after it, so equal windows
+   have these in common: only windows on a side whose SIDE bytes another run has too (by 32 bits of hash) are pending.
 3. *by document*: the bytes of pending runs are cut from the texts.
 4. *by anchor*: all places of the pending runs are sorted to a depth of WIDTH bytes by bucket-pointer refinement (``refine``): buckets by the first
    8 bytes, each then sorted by the buckets of places further on, which buckets refined later use as they are by then. Of equal windows all but
    the earliest are removed.
 5. *by document*: removed windows are joined to spans.
 
-Records travel as compressed blocks of columns, dealt over buckets by hash. Texts travel twice, compressed; a bucket's size is set by ``buckets``.
+Records travel as compressed blocks of columns, dealt over buckets by hash. Texts travel once, compressed, and are read for 3 and 5; a bucket's size is set
+by ``buckets``.
 
 Nulls: a null text is empty; a null doc_id comes after all others. Rows with equal doc_id and equal text are one document, returned for each row: records name
 their document by (doc_id, 63-bit hash of the text), and equal records count once. Different texts of one doc_id (or of null ids) stand in
@@ -31,17 +33,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.blocks import CUTS, PENDING, ROWS, RUNS, SPANS, as_before, bucket_of, by_bucket, by_id, dealt, doc_bytes, exchange, flat_bytes, key_of, mix, pack, rows_batch, text_blocks, texts_of, unpack
+from tidewater.llm.blocks import CUTS, PENDING, ROWS, RUNS, SPANS, as_before, beside, bucket_of, by_bucket, by_id, dealt, doc_bytes, exchange, flat_bytes, key_of, mix, pack, rows_batch, spread, text_blocks, texts_of, unpack
 from tidewater.llm.common import default_parts, table, written
 
 WIDTH = 100
 Q = 16
+SIDE = (WIDTH - Q) // 2
 CHUNK = 1 << 22
 HELD = 1 << 20
 CUT_BYTES = 1 << 25
 Q0 = 8
 STEP = 1 << 16
-RUN = [("anchor", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("h", "<u8"), ("lo", "<i8"), ("n", "<u4")]
+#: before, after: hashes of the anchor with SIDE bytes before and after it; the first n_before of the n windows hold the former, the others the latter.
+RUN = [("anchor", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("h", "<u8"), ("lo", "<i8"), ("n", "<u4"), ("n_before", "<u4"), ("before", "<u4"), ("after", "<u4")]
 SPAN = [("doc", "<i8"), ("h", "<u8"), ("lo", "<i8"), ("n", "<u4")]
 PEND = [("anchor", "<u8"), ("doc", "<i8"), ("h", "<u8"), ("lo", "<i8"), ("n", "<u4")]
 
@@ -53,11 +57,12 @@ def eights(data: np.ndarray) -> np.ndarray:
     return four[:-4] | (four[4:] << np.uint64(32))
 
 
-def minimizer_runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place in data, windows, anchor hash) of each run of windows with one minimizer. Texts are data[begin:end]."""
+def minimizer_runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, ...]:
+    """(text, place in data, windows, anchor hash, windows with (width - Q) // 2 bytes before the anchor, hash of these and the anchor, hash of the anchor and as
+    many after it) of each run of windows with one minimizer. Texts are data[begin:end]. A hash that no window of the run holds means nothing."""
     none = np.zeros(0, np.int64)
     if len(data) < width:
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none, none.astype(np.uint32), none.astype(np.uint32)
     e = eights(data)
     h = mix(e[:-8] * np.uint64(0x9E3779B97F4A7C15) + mix(e[8:]))
     low = np.uint64(CHUNK * 2 - 1)
@@ -78,7 +83,36 @@ def minimizer_runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray, width:
     starts = np.flatnonzero(first)
     stop = np.flatnonzero(np.concatenate([first | ~valid, [True]]))
     n = stop[np.searchsorted(stop, starts, side="right")] - starts if len(starts) else none
-    return np.searchsorted(begin, starts, side="right") - 1, starts, n, h[(least[starts] & low).astype(np.int64)]
+    anchor, side = (least[starts] & low).astype(np.int64), (width - Q) // 2
+    n_before = np.clip(anchor - side - starts + 1, 0, n)
+
+    def around(at: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(at), np.uint64)
+        for k in [*range(0, side + Q - 8, 8), side + Q - 8]:
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + e[np.clip(at + k, 0, len(e) - 1)])
+        return (out >> np.uint64(32)).astype(np.uint32)
+
+    return np.searchsorted(begin, starts, side="right") - 1, starts, n, h[anchor], n_before, around(anchor - side), around(anchor)
+
+
+def shared(runs: np.ndarray) -> np.ndarray:
+    """The parts of different runs, sorted by anchor, whose windows another one of them may have."""
+    same = as_before(runs, "anchor")
+    runs = runs[same | np.append(same[1:], False)]
+    n, n_before = runs["n"].astype(np.int64), runs["n_before"].astype(np.int64)
+    lo, out = runs["lo"].copy(), np.zeros(len(runs), np.int64)
+    for side, have in (("after", n - n_before), ("before", n_before)):
+        at = np.flatnonzero(have)
+        at = at[np.lexsort((runs[side][at], runs["anchor"][at]))]
+        again = as_before(runs[at], "anchor", side)
+        at = at[again | np.append(again[1:], False)]
+        if side == "after":
+            lo[at] += n_before[at]
+        else:
+            lo[at] = runs["lo"][at]
+        out[at] += have[at]
+    runs["lo"], runs["n"] = lo, out
+    return runs[out > 0]
 
 
 def settle(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +199,7 @@ def refine(data: np.ndarray, base: np.ndarray, n: np.ndarray, width: int = WIDTH
 
 
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, buckets: int | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """(blocks of removed windows by document bucket, blocks of texts by the same, buckets)."""
+    """(blocks of removed windows and blocks of texts, both dealt by document bucket; buckets)."""
     buckets = buckets or 2 * default_parts(docs, 32)
     d = doc_bytes(docs, key, text)
 
@@ -190,10 +224,11 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width
                     hi = min(last, lo + CHUNK)
                     part = data[lo:hi]
                     begin, end = np.maximum(off[i:j] - lo, 0), np.minimum(off[i + 1 : j + 1], hi) - lo
-                    t, at, n, anchor = minimizer_runs(part, begin, end, width)
+                    t, at, n, anchor, n_before, before, after = minimizer_runs(part, begin, end, width)
                     raw = part.tobytes()
                     r = np.empty(len(t), RUN)
                     r["anchor"], r["doc"], r["h"], r["lo"], r["n"] = anchor, doc[i + t], h[i + t], at + lo - off[i + t], n
+                    r["n_before"], r["before"], r["after"] = n_before, before, after
                     r["whole"] = np.fromiter((whole_of(raw[x:y]) for x, y in zip(at.tolist(), (at + n + width - 1).tolist(), strict=True)), np.uint64, len(t))
                     held.append(r)
                     count += len(r)
@@ -217,9 +252,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width
                 else:
                     found.append(unpack(block, RUN)[0])
             first, others = settle(np.concatenate([np.empty(0, RUN), *found]))
-            same = first["anchor"][1:] == first["anchor"][:-1]
-            shared = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(first) else np.zeros(0, bool)
-            yield rows_batch([*passed, *dealt(_as(others, SPAN), "doc", buckets, SPANS), *dealt(_as(first[shared], PEND), "doc", buckets, PENDING)])
+            yield rows_batch([*passed, *dealt(_as(others, SPAN), "doc", buckets, SPANS), *dealt(_as(shared(first), PEND), "doc", buckets, PENDING)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts, pieces, size = [], [], 0  # gathered over texts and buckets, so that blocks are large
@@ -263,10 +296,10 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             yield rows_batch(list(dealt(out, "doc", buckets, SPANS)))
 
     settled = written(exchange(d.mapInArrow(runs, ROWS), buckets).mapInArrow(by_anchor, ROWS), "repeats")
-    all_texts = d.mapInArrow(text_blocks(buckets), ROWS)
-    pending = settled.where(F.col("kind") == PENDING).unionByName(all_texts)
-    windows = exchange(exchange(pending, buckets).mapInArrow(cut, ROWS), buckets).mapInArrow(by_window, ROWS)
-    return settled.where(F.col("kind") == SPANS).unionByName(windows), all_texts, buckets
+    texts = spread(d.mapInArrow(text_blocks(buckets), ROWS), buckets)
+    pending = spread(settled.where(F.col("kind") == PENDING), buckets)
+    windows = exchange(beside(pending, texts).mapInArrow(cut, ROWS), buckets).mapInArrow(by_window, ROWS)
+    return spread(settled.where(F.col("kind") == SPANS).unionByName(windows), buckets), texts, buckets
 
 
 def _dealt_cuts(rec: np.ndarray, pieces: list[bytes], buckets: int) -> Iterator[tuple[int, int, bytes]]:
@@ -311,7 +344,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, buckets: int | None = No
                 kinds = [pa.int64()] * 4 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in KEPT.split(", ")])
 
-    return exchange(spans.unionByName(texts), buckets).mapInArrow(finish, KEPT)
+    return beside(spans, texts).mapInArrow(finish, KEPT)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
