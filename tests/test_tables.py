@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewater.__main__ import run
 from tidewater.database import Database
+from tidewater.plans import views
 from tidewater.plans.parse import Refused
 from tidewater.workspace import new_folder
 
@@ -331,3 +332,11 @@ def test_a_damaged_view_record_is_refused(spark):
             with pytest.raises(Refused):
                 db.refresh()
         db.folder.write("view-v.json", text)
+
+
+def test_a_view_with_many_runs_of_dirty_buckets(spark):
+    runs = [(7 * i - 1000, 7 * i - 1000 + i % 5) for i in range(views.MOST_RUNS)]
+    inside = {x for lo, hi in runs for x in range(lo, hi + 1)}
+    got = spark.range(-1100, 2700).select(F.col("id").alias(views.BUCKET)).where(views.View._in(None, runs)).collect()
+    assert {r[0] for r in got} == inside and len(got) == len(inside)
+    assert spark.range(5).select(F.col("id").alias(views.BUCKET)).where(views.View._in(None, [])).count() == 0

@@ -102,6 +102,23 @@ def nearest_joined(runs: list[tuple[int, int]], most: int) -> list[tuple[int, in
     return [(runs[i][0], runs[j - 1][1]) for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
+def within(col: Column, runs: list[tuple[int, int]]) -> Column:
+    """Whether a value that isn't null lies in one of the runs. A chain of conditions as long as the runs overflows the stack of Spark's analyzer, so they are a
+    tree of comparisons; the hull before it is what readers of files can use."""
+    runs = merged(runs)
+    if not runs:
+        return F.lit(False)
+
+    def among(some: list[tuple[int, int]]) -> Column:
+        if len(some) == 1:
+            return col.between(*some[0])
+        half = len(some) // 2
+        return F.when(col < F.lit(some[half][0]), among(some[:half])).otherwise(among(some[half:]))
+
+    hull = col.between(runs[0][0], runs[-1][1])
+    return hull if len(runs) == 1 else hull & among(runs)
+
+
 RECORD = 1
 
 
@@ -152,22 +169,14 @@ class View:
 
     def _ranges(self, runs: list[tuple[int, int]] | None, col: str) -> Column | None:
         """Keys of the buckets in runs; None: all."""
-        if runs is None:
-            return None
-        out = F.lit(False)
-        for lo, hi in runs:
-            out = out | ((F.col(col) >= F.lit(X.bucket_low(lo, self.width))) & (F.col(col) <= F.lit(X.bucket_high(hi, self.width))))
-        return out
+        return None if runs is None else within(F.col(col), [(X.bucket_low(lo, self.width), X.bucket_high(hi, self.width)) for lo, hi in runs])
 
     def _hull(self, runs: list[tuple[int, int]] | None) -> tuple[int, int] | None:
         """The range of keys that holds the buckets in runs; files of the table outside it aren't read."""
         return (X.bucket_low(min(lo for lo, _ in runs), self.width), X.bucket_high(max(hi for _, hi in runs), self.width)) if runs else None
 
     def _in(self, runs: list[tuple[int, int]]) -> Column:
-        out = F.lit(False)
-        for lo, hi in runs:
-            out = out | F.col(BUCKET).between(lo, hi)
-        return out
+        return within(F.col(BUCKET), runs)
 
     def fold(self, runs: list[tuple[int, int]] | None) -> DataFrame:
         """The materialisation's rows of these buckets, from the base tables."""
