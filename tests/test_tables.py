@@ -340,3 +340,17 @@ def test_a_view_with_many_runs_of_dirty_buckets(spark):
     got = spark.range(-1100, 2700).select(F.col("id").alias(views.BUCKET)).where(views.View._in(None, runs)).collect()
     assert {r[0] for r in got} == inside and len(got) == len(inside)
     assert spark.range(5).select(F.col("id").alias(views.BUCKET)).where(views.View._in(None, [])).count() == 0
+
+
+def test_a_running_view_with_many_dirty_buckets(db, spark):
+    keys = [10 * i for i in range(1025)]
+    db.table("t").append_frame(spark.createDataFrame([(k, "ab"[k % 3 % 2], float(k)) for k in keys], "ts long, sym string, x double"))
+    db.create_materialized_view("v", "SELECT sym, count(x) AS n, max(x) AS hi FROM t GROUP BY sym")
+    db.refresh_view("v")
+    db.table("t").delete((F.col("ts") / 10).cast("long") % 2 == 1)
+    runs = db.views["v"].dirty()
+    assert len(runs) >= views.MOST_RUNS
+    want = sorted((s, len(x), max(x)) for s in "ab" if (x := [float(k) for k in keys if "ab"[k % 3 % 2] == s and k // 10 % 2 == 0]))
+    assert sorted(map(tuple, db.query("SELECT sym, n, hi FROM v").collect())) == want
+    db.refresh_view("v")
+    assert db.views["v"].dirty() == [] and sorted(map(tuple, db.query("SELECT sym, n, hi FROM v").collect())) == want
