@@ -325,7 +325,7 @@ class View:
         sym, at = (b, a) if b in self.dim.schema.fieldNames() else (a, b)
         quotes = self.dim.frame(keys=(least, 2**63 - 1)).where(F.col(self.dim.key) >= F.lit(least)).select(F.col(sym).alias("__k"), F.col(self.dim.key).alias("__t"), F.lit(0).alias("__new"))
         new = touched.select(F.col(sym).alias("__k"), F.col(self.dim.key).alias("__t"), F.lit(1).alias("__new")).distinct()
-        later = Window.partitionBy("__k").orderBy("__t").rangeBetween(1, Window.unboundedFollowing)
+        later = Window.partitionBy("__k").orderBy(F.desc("__t")).rangeBetween(Window.unboundedPreceding, -1)  # grows from the latest on: a frame up to the end is computed anew a row
         spans = quotes.unionByName(new).withColumn("__next", F.min(F.when(F.col("__new") == 0, F.col("__t"))).over(later)).where("__new = 1")
         facts = self.base.key_range()
         if facts is None:
