@@ -31,8 +31,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (Jaccard of at least 0.8 of five-word shingles), one row: that of least id. Candidates come from SimHash's pigeonring
-    search and, beyond its radius, from a prefix filter."""
+    """Of each group of near duplicates, one row: that of least id. Texts link by SimHash as in op5 and, beyond its radius, at a Jaccard of at least 0.8 of
+    five-word shingles."""
     return near_dup.first_of_groups(docs.select(*COLUMNS))
 
 

@@ -164,3 +164,34 @@ def test_near_duplicates_by_brute_force(spark):
     assert len(got) == len(least) and set(got) <= set(docs)
     kept = {g: [r for r in got if any(group[k] == g and docs[k] == r for k in range(len(rows)))] for g in least}
     assert all(len(v) == 1 and v[0][0] == least[g] for g, v in kept.items())
+
+
+def test_near_duplicates_take_the_links_of_simhash(spark):
+    """Texts within SimHash's radius whose sets are far apart: a phrase many times over and a short end of their own. Others stay apart."""
+    import random
+
+    import corpus_pipeline as C
+    from tidewater.llm.simhash import DISTANCE, simhash
+
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("aeiortnsl") for _ in range(6))
+    rows = []
+    for g in range(6):
+        phrase = " ".join(word() for _ in range(9))
+        rows += [(10 * g + i, " ".join([phrase] * 80 + [word() for _ in range(8)])) for i in range(3)]
+    rows += [(100 + i, " ".join(word() for _ in range(60))) for i in range(10)]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    group, sets, far = {i: i for i, _ in rows}, {}, 0
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    for i, t in rows:
+        for j, u in rows:
+            near = bin(simhash(t) ^ simhash(u)).count("1") <= DISTANCE
+            similar = 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+            far += near and not similar
+            if (near or similar) and group[i] != group[j]:
+                x, y = max(group[i], group[j]), min(group[i], group[j])
+                group = {k: y if v == x else v for k, v in group.items()}
+    assert far > 0
+    assert sorted(r.doc_id for r in C.near_duplicates(spark, docs, DIR).collect()) == sorted(set(group.values()))

@@ -36,8 +36,9 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 NONE = 2**63 - 1
 
 
-def simhash(text: str | None, shingle: int = SHINGLE) -> int:
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+def simhash(text: str | bytes | None, shingle: int = SHINGLE) -> int:
+    """Of a text, or of its UTF-8 bytes."""
+    words = (text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")).translate(_LOWER).split()
     if not words:
         return 0
     flat, h = b" ".join(words), xxhash.xxh64_intdigest
