@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater import catalog
 from tidewater.operators.joins import asof_join
 from tidewater.operators.multifactor import _Fit, fit_windows
 from tidewater.operators.windows import STATS, Frame, Pass, _finish, _named, frame_moments, window_stats
@@ -164,3 +165,12 @@ def test_asof_join_in_slices(spark, how, strict):
         assert sorted((r.id, r.qid) for r in got.collect()) == sorted(want, key=lambda x: x[0]), slices
     assert asof_join(f.limit(0), q, ("k", "qk"), "t", "qt", how, strict, ["qid"], "qid").count() == 0
     assert asof_join(f, q.limit(0), ("k", "qk"), "t", "qt", how, strict, ["qid"], "qid").count() == (300 if how == "left" else 0)
+
+
+def test_a_running_mean_of_many_rows_keeps_its_digits(spark, tmp_path):
+    """All values are the same, so each mean is that value, which lies right above a tie of the query's rounding; a plain running sum drifts below it."""
+    value = 49.181949998513836
+    rows = spark.range(200_000).selectExpr("id AS event_id", "timestamp_micros(1704067200000000 + id * 1000) AS ts", "id % 10 AS user_id", "'view' AS event_type", f"{value!r}D AS value", "'' AS props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["series_rolling"](spark, str(tmp_path)).groupBy("em").count().collect()
+    assert [(r["em"], r["count"]) for r in got] == [(49.182, 200_000)]

@@ -259,10 +259,11 @@ _BY = "OVER (PARTITION BY sym ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT R
 def series_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, x, z = Window.partitionBy("sym").orderBy("ts", "_seq"), F.col("x"), F.col("z")
     cols = {"rs": W.rolling_sum(x, 10, w), "rm": W.rolling_mean(x, 10, w), "rd": W.rolling_dot(x, z, 10, w)}
-    cols |= {"d": W.diff(x, w), "lr": W.log_returns(x, w), "r": W.returns(x, w), "em": W.expanding(F.avg, x, w)}
+    cols |= {"d": W.diff(x, w), "lr": W.log_returns(x, w), "r": W.returns(x, w)}
     df = ev(spark, sf_dir).df.select("event_id", "sym", "ts", "_seq", "x", "z")
     spread = W.window_stats(df, {"rv": ("var_pop", "x"), "rsd": ("stddev_pop", "x")}, ["sym"], ["ts", "_seq"], W.Frame("rows", 9))
-    return spread.withColumns(cols).select("event_id", *cols, "rv", "rsd")
+    spread = W.window_stats(spread, {"em": ("mean", "x")}, ["sym"], ["ts", "_seq"], W.Frame("rows", None))
+    return spread.withColumns(cols).select("event_id", *cols, "rv", "rsd", "em")
 
 
 @query(
