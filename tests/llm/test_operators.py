@@ -5,9 +5,11 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -485,6 +487,29 @@ def test_minimizer_runs_of_a_text_over_the_chunk(spark, monkeypatch):
     assert (got[1].n_removed, got[2].n_removed, bytes(got[2].kept)) == (0, 3500, b"zz")
 
 
+def test_memory_of_the_map_step_is_that_of_its_runs_and_a_small_chunk(monkeypatch):
+    """12 MB of text, more than a chunk: the arrays of a chunk and the copies that settling makes were 200 MB at their peak."""
+
+    class Docs:
+        def mapInArrow(self, step, schema):
+            raise StopIteration(step)
+
+    monkeypatch.setattr(suffix_dedup, "doc_bytes", lambda *_: Docs())
+    with pytest.raises(StopIteration) as found:
+        suffix_dedup.find_repeats(None, buckets=8)
+    raw = np.random.default_rng(5).integers(97, 123, 12_000_000, np.uint8).tobytes()
+    texts = [raw[i : i + 3000] for i in range(0, len(raw), 3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary()), pa.array(range(len(texts)), pa.int64())], ["doc", "bytes", "h"])
+    tracemalloc.start()
+    try:
+        blocks = [x for out in found.value.value(iter([batch])) for x in out.column("block").to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(int((suffix_dedup.unpack(x, suffix_dedup.RUN)[0]["n"]).sum()) for x in blocks) == len(texts) * (3000 - 99)
+    assert peak < 100e6
+
+
 def test_only_windows_with_a_common_side_of_the_anchor_are_pending():
     """Prose of few words shares most 16-byte strings and few 100-byte ones."""
     rnd = random.Random(8)

@@ -39,7 +39,8 @@ from tidewater.llm.common import default_parts, table, written
 WIDTH = 100
 Q = 16
 SIDE = (WIDTH - Q) // 2
-CHUNK = 1 << 22
+#: Bytes of text whose runs are found at once; that takes 44 times as much memory.
+CHUNK = 1 << 20
 HELD = 1 << 20
 CUT_BYTES = 1 << 25
 Q0 = 8
@@ -118,7 +119,9 @@ def shared(runs: np.ndarray) -> np.ndarray:
 def settle(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first of each set of equal runs, all others). Runs of equal rows are the same run."""
     runs = runs[np.lexsort((runs["lo"], runs["h"], runs["doc"], runs["whole"], runs["anchor"]))]
-    runs = runs[~as_before(runs, "anchor", "whole", "doc", "h", "lo")]
+    again = as_before(runs, "anchor", "whole", "doc", "h", "lo")
+    if again.any():
+        runs = runs[~again]
     again = as_before(runs, "anchor", "whole")
     return runs[~again], runs[again]
 
@@ -208,7 +211,8 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width
         count = 0
 
         def flush() -> pa.RecordBatch:
-            first, others = settle(np.concatenate(held)) if held else (np.empty(0, RUN), np.empty(0, RUN))
+            held[:] = [np.concatenate(held)]
+            first, others = settle(held.pop())  # which frees what it has sorted
             return rows_batch([*dealt(first, "anchor", buckets, RUNS), *dealt(_as(others, SPAN), "doc", buckets, SPANS)])
 
         for b in batches:
@@ -238,7 +242,6 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width
                 i = j
                 if count >= HELD:
                     yield flush()
-                    held.clear()
                     count = 0
         if held:
             yield flush()
